@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, exact_dedup, warc
+from . import bitplane, exact_dedup, jaccard_join, warc
 from ._common import read_table
 
 
@@ -23,6 +23,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_documents(manifest)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(read_table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(read_table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -31,6 +35,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_output": op4_token_output,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_warc": op10_warc,
 }
 
