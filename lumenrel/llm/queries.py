@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, exact_dedup, jaccard_join, warc
+from . import bitplane, exact_dedup, jaccard_join, language, mixing, quality, warc
 from ._common import read_table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,15 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_documents(manifest)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(read_table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
 
@@ -33,8 +46,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_output": op4_token_output,
+    "op5_language": op5_language,
+    "op6_quality": op6_quality,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_warc": op10_warc,
 }

@@ -1,0 +1,79 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenrel.llm import mixing
+
+
+def rows(n=400, seed=0):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        source = "hot" if i % 3 == 0 else rng.choice(["a", "B", "é", None, "tiny", "b"])
+        out.append((i, "w " * rng.choice([0, 1, 5, 30, 300]) + "é\x1c", source))
+    out += [(1, None, "a"), (2, "", "nothing"), (None, "x y", "a"), (3, "same text", "a"), (3, "same text", "a"), (900, "z " * 20_000, "b")]
+    return out
+
+
+def frame(spark, data):
+    return spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("target", F.lit("clash")).withColumn("size", F.lit(None).cast("int"))
+
+
+def check(data, got, near):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in got) == sorted((d or -1, size(t)) for d, t, _ in data)
+    total = {}
+    for _, t, s in data:
+        total[s] = total.get(s, 0) + size(t)
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    aims = dict(zip(order, mixing.targets([total[s] for s in order])))
+    taken = {}
+    for r in got:
+        assert r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(aims[r["source"]])
+        assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"] and len(r["shards"]) == r["copies"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    for s in order:
+        assert abs(taken[s] - aims[s]) <= max(near, 0.02 * aims[s]), (s, taken[s], aims[s])
+
+
+@pytest.mark.parametrize("words,few", [(1 << 16, 20_000), (500, 20_000), (3000, 4)])
+def test_targets_are_met(spark, words, few):
+    data = rows()
+    run = lambda: mixing.mix(frame(spark, data).repartition(3), block_words=words, few=few, shards=5).collect()
+    got = run()
+    check(data, got, 40)
+    assert sorted(map(str, got)) == sorted(map(str, run()))
+
+
+def test_water_filling():
+    for sizes in ([], [0], [5], [1000, 1, 1], [0, 7, 0, 9], [3, 500, 20, 20, 1]):
+        t = mixing.targets(sizes)
+        assert all(x <= 2 * s + 1e-9 for x, s in zip(t, sizes))
+        assert sum(t) == pytest.approx(1.5 * sum(sizes))
+        free = [x / [5, 2, 1][i % 3] for i, (x, s) in enumerate(zip(t, sizes)) if s and x < 2 * s - 1e-9]
+        assert max(free, default=0) == pytest.approx(min(free, default=0))
+
+
+def test_splitting_tree_is_exact():
+    quotas = np.array([40, 0, 7, 100, 1])
+    dealt = mixing.splitting_tree(quotas, 6, np.random.default_rng(1))
+    assert (dealt.sum(axis=0) == quotas).all() and (dealt >= 0).all()
+    assert dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 2
+
+
+def test_mixed_documents(spark):
+    data = rows(60)
+    docs = frame(spark, data)
+    plan = mixing.mix(docs, shards=4).collect()
+    mixed = mixing.mixed_documents(docs, shards=4)
+    assert mixed.columns == docs.columns
+    want = [(str(r["doc_id"]), r["source"]) for r in plan for _ in range(r["copies"])]
+    assert sorted(((str(r["doc_id"]), r["source"]) for r in mixed.collect()), key=str) == sorted(want, key=str)
+
+
+def test_empty(spark):
+    docs = frame(spark, [])
+    assert mixing.mix(docs).collect() == [] and mixing.mixed_documents(docs).collect() == []
