@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitplane, exact_dedup, jaccard_join, language, mixing, quality, warc
+from . import bitplane, decontaminate, exact_dedup, jaccard_join, language, licenses, mixing, pii, quality, warc
 from ._common import read_table
 
 
@@ -14,6 +15,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    # documents have no paths: a source is a directory, a language one inside it
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    return licenses.scan(docs, path)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,22 +44,33 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(read_table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(read_table(spark, sf_dir, "documents")).drop("row", "all")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(read_table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_output": op4_token_output,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 
