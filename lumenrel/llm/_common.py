@@ -40,7 +40,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -49,6 +51,11 @@ def remove(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of materialise() that nothing will read again."""
+    remove(df.sparkSession, df._scratch)
+
+
 def open_store(uri: str):
     """(pyarrow filesystem, path) for a URI that every executor reaches: file, hdfs, s3 or gs."""
     from pyarrow import fs

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, join_groups, materialise
+from ._common import components, discard, join_groups, materialise
 
 SKETCH_BITS, SMALL_BITS, BLOCK = 2048, 512, 1024
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -186,7 +186,8 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int,
                 own = [j for j, s in enumerate(sets) if node_of(signature(s)) == nodes[j]]  # another row may have this doc_id
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[j] for j in own], pa.int64()), pa.array([sets[j].tobytes() for j in own], pa.binary())], names=["node", "s"])
 
-    sets = materialise(texts.select("node", "text").mapInArrow(load, "node long, s binary"), "sets").dropDuplicates(["node"])
+    loaded = materialise(texts.select("node", "text").mapInArrow(load, "node long, s binary"), "sets")
+    sets = loaded.dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,9 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int,
                 keep.append(den * same >= num * (len(x) + len(y) - same))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long")
+    out = materialise(both.select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long"), "links")
+    discard(loaded)
+    return out
 
 
 def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -273,11 +276,13 @@ def link_components(
     num, den = similarity
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = materialise(describe(docs, k, num, den, sample_docs, most_frequent), "shingled")
+    rows = materialise(every.select("doc_id", "n", "sig", "node"), "rows")
     full = every.filter("n > 0")
     copies = materialise(full.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "equal-sets")
     named = join_groups(full, copies, "sig", "copies")
     nodes = named.filter("copies is null or rep <=> doc_id").withColumn("rep", F.coalesce("rep", "doc_id"))
-    nodes = materialise(nodes.select("node", "rep", "n", "rare", "sketch", "small", "keys", "copies"), "nodes")
+    stored = nodes = materialise(nodes.select("node", "rep", "n", "rare", "sketch", "small", "keys", "copies"), "nodes")
+    discard(every)
     # Equal (doc_id, text) rows would stand for a node twice.
     twice = nodes.filter("copies > 1").dropDuplicates(["node"])
     nodes = nodes.filter("copies is null").unionByName(twice).drop("copies")
@@ -290,14 +295,16 @@ def link_components(
     fits = den * F.least("n", "pn") >= num * F.greatest("n", "pn")
     star = meets.join(pivots, "key").filter("node <> pivot").filter(fits)
     star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    reps = nodes.select("node", "rep")
-    links = materialise(_links(materialise(_near(star, nodes, num, den), "star"), docs, reps, k, num, den), "links")
+    reps = materialise(nodes.select("node", "rep"), "reps")
+    links = _links(materialise(_near(star, nodes, num, den), "star"), docs, reps, k, num, den)
     comps = materialise(components(links), "components")
 
     left = meets.filter("members > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     open_cells = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     left = left.join(open_cells, "key").select("key", "members", "node", "n", "comp").join(nodes.select("node", "small"), "node")
     rest = materialise(_near(_cells(left, num, den), nodes, num, den), "cross")
+    discard(meets)
+    discard(stored)
     if rest.isEmpty():
         final = comps
     else:
@@ -307,8 +314,7 @@ def link_components(
     own = final.join(reps, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = final.join(own, "component").select("node", "component_id")
     smallest = materialise(reps.join(of_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "node-components")
-    rows = every.select("doc_id", "n", "sig", "node")
-    dup_sizes = copies.join(every.select("sig", "node").dropDuplicates(["sig"]), "sig").select("node", "copies")
+    dup_sizes = copies.join(rows.select("sig", "node").dropDuplicates(["sig"]), "sig").select("node", "copies")
     by_node = materialise(smallest.join(dup_sizes, "node", "left").select("node", "component_id", F.coalesce("copies", F.lit(1)).alias("copies")), "node-sizes")
     out = join_groups(rows.filter("n > 0").select("doc_id", "n", "node"), by_node, "node", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
