@@ -168,7 +168,7 @@ class WordEncoder:
     FAR = re.compile("[^\x00-\x1b\x20-ɏ]|<\\|")
     TAIL = ".,!?;:#$%&*|"
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)

@@ -48,7 +48,7 @@ _WORDS: dict[bytes, int] = {}
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the k-word shingles; A-Z lower-cased, words split at ASCII white space."""
     split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > 250_000:
         _WORDS.clear()
     for w in set().union(*split).difference(_WORDS):
         _WORDS[w] = xxhash.xxh3_64_intdigest(w)

@@ -76,7 +76,7 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # [BUCKETS, languages] log probabilities, centred over languages
     scripts: dict[str, np.ndarray]  # languages that have it
-    most: int = 600_000
+    most: int = 300_000
     index: dict[str, int] = field(default_factory=dict)
     table: list[np.ndarray] = field(default_factory=list)
 

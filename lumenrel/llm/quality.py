@@ -100,7 +100,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = statistics(b.column(1).to_pylist())
+            x = np.concatenate([np.empty((0, len(NAMES))), *(statistics(b.column(1).slice(i, 1000).to_pylist()) for i in range(0, b.num_rows, 1000))])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=["doc_id", *(f"f{i}" for i in range(len(NAMES)))])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
