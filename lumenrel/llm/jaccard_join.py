@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, discard, join_groups, materialise
+from ._common import components, discard, join_groups, materialise, shuffles_end_with_query
 
 SKETCH_BITS, SMALL_BITS, BLOCK = 2048, 512, 1024
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -121,7 +121,8 @@ def _frequent(docs: DataFrame, k: int, sample_docs: int, most: int) -> tuple[np.
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["s"])
 
     counted = sample.select("doc_id", "text").mapInArrow(emit, "s long").groupBy("s").count().filter("count >= 3")
-    top = counted.orderBy(F.desc("count"), "s").limit(most).toArrow()
+    with shuffles_end_with_query(docs.sparkSession):
+        top = counted.orderBy(F.desc("count"), "s").limit(most).toArrow()
     s, n = top["s"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(s)
     rank = np.empty(len(s), np.int64)
