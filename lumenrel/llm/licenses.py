@@ -1,11 +1,14 @@
 """License scans with DataFrame functions only.
 
 Method: sentences of a text that may speak of a licence become sparse TF-IDF vectors (a row a word) and are compared by cosine to the
-templates of known notices; a text that is a notice as a whole is a licence file. Files without a licence of their own inherit that
+templates of known notices and file headers; a text of any length that is a notice or a full licence text as a whole is a licence file.
+Sentences are those of each line and those of each paragraph with its comment marks and line breaks taken out, so a header that is
+broken over lines is one notice; blank lines end it. Files without a licence of their own inherit that
 of the nearest ancestor directory with a licence file, by joining paths to the paths of their ancestors.
 
 idf comes from the templates, the highest one for words that no template has, so a long sentence that only mentions a
-licence scores low. The templates are a fixed table, which is what gets broadcast.
+licence scores low. Notices, headers and full texts (``license_texts/``) each have an idf of their own. The templates are fixed
+tables, which is what gets broadcast. A full text outweighs the notices inside it, since licences mention one another.
 
 Defined results: null or empty text has no licence; several licences in a text: the best-scored one is ``license``, all are in
 ``licenses``; licence files that differ in one directory are all inherited, in order; ties go to the first name; a null path
@@ -17,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,30 +58,60 @@ TEMPLATES = [
 ]
 TRIGGER = r"(?i)licen[sc]e|copyright|public domain|rights reserved|free software|redistribut|permission is hereby|\bCC BY|\bCC0"
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)?"
+#: Sentences of standard file headers that have more words than the notices above.
+HEADERS = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    *((f"{a}GPL-{v}.0", f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.")
+      for a, name, what, v in [("", "", "program", 3), ("", "", "program", 2), ("A", "Affero ", "program", 3), ("L", "Lesser ", "library", 3)]),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+]
+
 
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the full licence texts."""
+    found = [f for f in files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")]
+    return sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in found)
 
-def vectors() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+
+def vectors(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template number, licence, word, unit weight) rows, idf by word, idf of other words."""
-    counts = [Counter(re.findall(_WORD, text.lower())) for _, text in TEMPLATES]
+    counts = [Counter(re.findall(_WORD, text.lower())) for _, text in templates]
     df = Counter(w for c in counts for w in c)
     other = math.log(1 + len(counts)) + 1
     idf = {w: math.log((1 + len(counts)) / (1 + n)) + 1 for w, n in df.items()}
     rows = []
-    for k, ((name, _), c) in enumerate(zip(TEMPLATES, counts)):
+    for k, ((name, _), c) in enumerate(zip(templates, counts)):
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
         rows += [(k, name, w, n * idf[w] / norm) for w, n in c.items()]
     return rows, idf, other
 
 
+#: Comment marks at the start and end of lines.
+_MARKS = r"(?im)^[ \t]*+(?://++[!/]?|#++|/?\*++/?|--++|;++|%++|<!--++|rem\b|dnl\b|\"{3}|'{3})?[ \t]*+(?=\S|$)|[ \t]*+(?:\*++/|--++>)?[ \t]*+$"
+
+
 def _notices(text: Column) -> Column:
-    """Sentences and lines of the text that may speak of a licence."""
-    lines = F.flatten(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.split(x, r"(?<=[.!?])\s+(?=\p{Lu})")))
+    """Sentences of the text's lines, paragraphs and sentences of paragraphs that may speak of a licence."""
+
+    def sentences(parts: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda x: F.split(x, r"(?<=[.!?])\s+(?=\p{Lu})")))
+
+    plain = F.regexp_replace(text, _MARKS, "")
+    blocks = F.transform(F.split(plain, r"(?:\r\n?|\n)[ \t]*+(?:\r\n?|\n)\s*+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    blocks = F.filter(blocks, lambda x: x.rlike(TRIGGER))
+    lines = F.array_distinct(F.concat(sentences(F.split(text, r"[\r\n]+")), sentences(blocks), blocks))
     return F.when(text.rlike(TRIGGER), F.filter(lines, lambda x: x.rlike(TRIGGER)))
 
 
-def match(spark: SparkSession, texts: DataFrame, threshold: float) -> DataFrame:
+def match(spark: SparkSession, texts: DataFrame, threshold: float, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """texts: (key, text), keys distinct. (key, license, score) of the templates at the threshold or over, best a licence."""
-    rows, idf, other = vectors()
+    rows, idf, other = vectors(templates)
     weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, word string, weight double"))
     of_word = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
     tf = texts.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("word")).groupBy("key", "word").count()
@@ -95,22 +130,31 @@ def scan(docs: DataFrame, path: Column | None = None, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), text.alias("text"))
     rows = rows.select(
         "doc_id", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).alias("dir"), _notices(F.col("text")).alias("notices"),
-        F.when((F.length("text") <= 4000) & F.col("text").rlike(TRIGGER), F.col("text")).alias("whole"), F.xxhash64("text").alias("text_hash"),
+        F.when(F.col("text").rlike(TRIGGER), F.col("text")).alias("whole"), F.xxhash64("text").alias("text_hash"),
     )
     rows = materialise(rows, "notices")
     # equal sentences and equal texts are compared once
     lines = rows.filter("notices is not null").select("text_hash", F.explode("notices").alias("text")).distinct()
     lines = materialise(lines.withColumn("key", F.xxhash64("text")), "license-lines")
-    known = match(spark, lines.select("key", "text").dropDuplicates(["key"]), threshold)
+    distinct = lines.select("key", "text").dropDuplicates(["key"])
+    known = match(spark, distinct, threshold).unionByName(match(spark, distinct, threshold, HEADERS))
     # a sentence speaks of one licence, the nearest
     known = known.groupBy("key").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("x")).select("key", "x.*")
     own = lines.select("text_hash", "key").join(known, "key").groupBy("text_hash", "license").agg(F.max("score").alias("score"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))))
     own = own.groupBy("text_hash").agg(ranked.alias("all")).select("text_hash", F.col("all")[0]["l"].alias("license"), (-F.col("all")[0]["s"]).alias("score"), F.array_sort(F.transform("all", lambda x: x["l"])).alias("licenses"))
     whole = rows.filter("whole is not null").select(F.col("text_hash").alias("key"), F.col("whole").alias("text")).dropDuplicates(["key"])
-    files = match(spark, whole, file_threshold).groupBy("key").agg(F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("file_license"))
+    best = lambda found, name: found.groupBy("key").agg(F.min_by(F.struct(F.col("license").alias("l"), F.col("score").alias("s")), F.struct(-F.col("score"), F.col("license"))).alias(name))
+    whole = materialise(whole, "license-wholes")
+    files = best(match(spark, whole, file_threshold), "notice").join(best(match(spark, whole, file_threshold, full_texts()), "full"), "key", "full")
     sizes = rows.filter("notices is not null").groupBy("text_hash").agg(F.count("*").alias("copies"))
     found = sizes.join(own, "text_hash", "left").join(files.withColumnRenamed("key", "text_hash"), "text_hash", "left")
+    is_full = F.col("full").isNotNull()
+    found = found.select(
+        "text_hash", "copies", F.coalesce("full.l", "license", "notice.l").alias("license"), F.coalesce("full.s", "score", "notice.s").alias("score"),
+        F.when(is_full, F.array("full.l")).when(F.col("license").isNull() & F.col("notice").isNotNull(), F.array("notice.l")).otherwise(F.col("licenses")).alias("licenses"),
+        F.coalesce("full.l", "notice.l").alias("file_license"),
+    )
     found = materialise(found, "license-texts")
     out = join_groups(rows.select("doc_id", "dir", "text_hash"), found, "text_hash", "copies")
     out = materialise(out, "license-rows")

@@ -61,3 +61,25 @@ def test_scores_against_direct_sums(spark):
 
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_full_texts_and_broken_headers(spark):
+    full = dict(licenses.full_texts())
+    assert len(full["Apache-2.0"]) > 4000 and len(full["GPL-3.0"]) > 4000
+    named = [(name, f"{name}/LICENSE", text.replace("Copyright (c)", "Copyright (c) 2024 Ann Example")) for name, text in full.items()]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    lesser = gpl.replace("General", "Lesser General").replace("program", "library")
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n"
+    code = "int main() { return 0; }\n" * 300
+    mark = lambda text, m: "".join(f"{m}{x}\n" for x in text.splitlines())
+    headers = [
+        ("GPL-3.0", "x/a.py", mark(gpl, "# ") + "\n" + code), ("GPL-3.0", "x/a.c", "/*\n" + mark(gpl, " * ") + " */\n\n" + code), ("LGPL-3.0", "x/b.c", mark(lesser, "// ") + "\n" + code),
+        ("Apache-2.0", "x/c.c", "// Copyright 2024 Ann Example\n//\n" + mark(apache, "// ") + "\n" + code), ("MIT", "x/d.js", "/*\n" + mark(full["MIT"], " * ") + " */\n" + code),
+    ]
+    rows = [(i, path, text) for i, (_, path, text) in enumerate(named + headers)] + [(100 + i, f"{name}/src/x.txt", "plain") for i, name in enumerate(full)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    want = [w for w, _, _ in named + headers]
+    assert [got[i]["license"] for i in range(len(want))] == want
+    assert [got[i]["license_file"] for i in range(len(want))] == [True] * len(named) + [False] * len(headers)
+    assert [got[100 + i]["inherited"] for i in range(len(full))] == list(full)
+    assert all(got[i]["licenses"] == [w] for i, w in enumerate(want[: len(named)]))
