@@ -1,11 +1,16 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give them away.
 
 Base kinds are e-mail, IP address, card number (Luhn) and phone number, found in whole texts. The method adds ``term`` spans: words
-near a protected entity whose co-occurrence in the corpus discloses it. For a term t and an entity e, rows(t), rows(e) and rows(t, e) are
+whose co-occurrence with a protected entity in the corpus discloses it. For a term t and an entity e, rows(t), rows(e) and rows(t, e) are
 counted over all documents; t is disclosing when P(e | t) = rows(t, e) / rows(t) reaches ``share``, the pointwise mutual
 information log2(P(e | t) / P(e)) reaches ``bits``, and ``support`` different texts show the pair (so copies of one text don't count).
 Such terms are generalised (replaced by a placeholder) by ``sanitise``, as base spans are.
 
+With ``everywhere`` (op9_pii) rows(t, e) counts whole documents, and a disclosing term is marked wherever it occurs outside base spans, in
+documents without the entity too. Entities and terms are left out of the pairs only by bounds that no pair can pass: an entity in fewer
+than ``support`` texts or in too many rows for ``bits``, a term in more rows than P(e | t) allows for the most frequent entity. Without
+``everywhere`` only words beside an entity are counted and marked: ``words`` on each side within ``reach`` characters.
+
 All of it is DataFrame functions. The patterns are rewritten without changing what they match: separators inside numbers and dots inside
 domains first become private characters, so that no repeated group recurses and no run is tried from each of its
 characters; a run of any length takes linear time.
@@ -31,7 +36,7 @@ CARD = rf"(?<![0-9{_SEP}])[0-9][0-9{_SEP}]{{13,}}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, value) of the pattern's matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
@@ -109,6 +114,80 @@ def _context(text: Column, spans: Column, reach: int, words: int) -> Column:
     return F.filter(near, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """Distinct words of four letters or more, lower-cased, that touch no span."""
+
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.when(x["start"] > acc["at"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"])).otherwise("")
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.array_append(acc["out"], piece).alias("out"))
+
+    text = F.translate(text, _SEP, "?")
+    none = F.expr("CAST(array() AS array<string>)")
+    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: F.array_join(F.array_append(a["out"], F.substring(text, a["at"] + 1, F.length(text))), _SEP))
+    plain = F.when(F.size(spans) > 0, F.regexp_replace(cut, rf"(?<!\p{{L}})\p{{L}}*+{_SEP}\p{{L}}*+", " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: F.length(w) >= 4), lambda w: F.lower(w)))
+
+
+def _entities(spans: str) -> Column:
+    return F.array_distinct(F.transform(spans, lambda x: F.concat(x["kind"].cast("string"), F.lit(":"), F.lower(x["value"]))))
+
+
+def _everywhere(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("base", base_spans(F.col("text")))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("text_hash"), "base", _outside(F.col("text"), F.col("base")).alias("words"))
+
+
+def disclosing_terms(found: DataFrame, share: float = 0.5, bits: float = 3.0, support: int = 3, most_broadcast: int = 500_000) -> DataFrame | None:
+    """Terms that disclose an entity by co-occurrence in whole documents; None where there can be none. found: rows of _everywhere, materialised."""
+    total = found.count()
+    holders = found.filter(F.size("base") > 0)
+    of_entity = holders.select("text_hash", F.explode(_entities("base")).alias("entity")).groupBy("entity", "text_hash").count()
+    of_entity = of_entity.groupBy("entity").agg(F.sum("count").alias("rows_e"), F.count("*").alias("texts"))
+    of_entity = materialise(of_entity.filter((F.col("texts") >= support) & (F.log2(F.lit(total) / F.col("rows_e")) >= bits)).select("entity", "rows_e"), "term-entities")
+    n, most = of_entity.agg(F.count("*"), F.max("rows_e")).first()
+    if not n:
+        return None
+    of_entity = F.broadcast(of_entity) if n <= most_broadcast else of_entity
+    every = found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("rows_t"))
+    every = materialise(every.filter(F.col("rows_t") >= support), "term-rows")
+    possible = F.lit(most) / F.col("rows_t") >= share
+    of_term = every.filter(possible)
+    if of_term.count() <= most_broadcast:
+        of_term, hot = F.broadcast(of_term), None
+    else:
+        # under 1,000 times the mean number of words a document, whatever the input is
+        hot = F.broadcast(every.filter(~possible & (F.col("rows_t") > total / 1000)).select("term"))
+    # equal texts are expanded once
+    texts = holders.groupBy("text_hash").agg(F.count("*").alias("copies"), F.first(_entities("base")).alias("entities"))
+    texts = texts.select("text_hash", "copies", F.explode("entities").alias("entity")).join(of_entity, "entity")
+    texts = materialise(texts.groupBy("text_hash", "copies").agg(F.collect_list(F.struct("entity", "rows_e")).alias("entities")), "term-texts")
+    terms = holders.join(texts, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", F.explode("words").alias("term"))
+    terms = terms if hot is None else terms.join(hot, "term", "left_anti")
+    pairs = terms.join(of_term, "term").join(texts, "text_hash").select("term", "rows_t", "copies", F.explode("entities").alias("x")).select("term", "rows_t", "copies", "x.*")
+    pairs = pairs.filter(F.col("rows_e") / F.col("rows_t") >= share)
+    both = pairs.groupBy("entity", "term", "rows_e", "rows_t").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
+    given = F.col("both") / F.col("rows_t")
+    told = both.filter((F.col("texts") >= support) & (given >= share) & (F.log2(given * total / F.col("rows_e")) >= bits))
+    return materialise(told.select("term").distinct(), "told")
+
+
+def _marked(docs: DataFrame, found: DataFrame, told: DataFrame, id_col: str, text_col: str, most_broadcast: int = 500_000) -> DataFrame:
+    """(row, terms): spans of the told terms wherever they occur; spans may still touch base spans."""
+    told = F.broadcast(told) if told.count() <= most_broadcast else told
+    held = found.select("row", F.explode("words").alias("term")).join(told, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("held"))
+    held = materialise(held, "held-terms")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text")).join(held, "row")
+    # of letters, only a dotted capital I has a lower case of two characters, the second one no letter
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.replace(F.array_join("held", "|"), F.lit("i\u0307"), F.lit("\u0130")), F.lit(r")(?!\p{L})"))
+    rows = rows.withColumn("pattern", pattern)
+    spans = F.filter(located(F.col("text"), F.col("pattern")), lambda x: F.array_contains("held", F.lower(x["value"])))
+    spans = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end"), F.lower(x["value"]).alias("value")))
+    return rows.select("row", spans.alias("terms")).dropDuplicates(["row"])
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str, reach: int, words: int) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -133,15 +212,25 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", share:
     return known.filter((given >= share) & (F.log2(given * total / F.col("rows_e")) >= bits)).select("entity", "term")
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, words: int = 4, **thresholds) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, words: int = 4, everywhere: bool = False, **thresholds) -> DataFrame:
     """A row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, row (hash of doc_id and text), all (array of spans)."""
-    found = materialise(_found(docs, id_col, text_col, reach, words), "entities")
-    told = disclosing(docs, found, text_col, **thresholds)
-    seen = found.filter("beside is not null").dropDuplicates(["row"]).select("row", F.explode("beside").alias("x")).select("row", "x.*")
-    terms = seen.join(told, ["entity", "term"]).groupBy("row").agg(
-        F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("end"), F.col("term").alias("value"))).alias("terms")
-    )
-    out = found.join(materialise(terms, "terms"), "row", "left")
+    if everywhere:
+        found = materialise(_everywhere(docs, id_col, text_col), "entities")
+        told = disclosing_terms(found, **thresholds)
+        if told is None:
+            out = found.withColumn("terms", F.lit(None).cast(found.schema["base"].dataType))
+        else:
+            out = found.select("doc_id", "row", "base").join(materialise(_marked(docs, found, told, id_col, text_col), "terms"), "row", "left")
+            free = F.filter("terms", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+            out = out.withColumn("terms", F.when(F.size(free) > 0, free))
+    else:
+        found = materialise(_found(docs, id_col, text_col, reach, words), "entities")
+        told = disclosing(docs, found, text_col, **thresholds)
+        seen = found.filter("beside is not null").dropDuplicates(["row"]).select("row", F.explode("beside").alias("x")).select("row", "x.*")
+        terms = seen.join(told, ["entity", "term"]).groupBy("row").agg(
+            F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("end"), F.col("term").alias("value"))).alias("terms")
+        )
+        out = found.join(materialise(terms, "terms"), "row", "left")
     every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms")))
     kinds = F.transform("base", lambda x: x["kind"])
 

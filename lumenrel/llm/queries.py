@@ -53,7 +53,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(read_table(spark, sf_dir, "documents")).drop("row", "all")
+    return pii.detect(read_table(spark, sf_dir, "documents"), everywhere=True).drop("row", "all")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -71,3 +72,56 @@ def test_disclosing_terms(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.detect(docs).collect() == [] and pii.sanitise(docs).collect() == []
+
+
+def told_by_hand(rows, share=0.5, bits=3.0, support=3):
+    """Spans of disclosing terms by direct counts over whole texts."""
+    seen = []
+    for _, text in rows:
+        spans = [(a, z, f"{k}:{text[a:z].lower()}") for a, k, z in brute(text)]
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", text or "") if len(m[0]) >= 4]
+        seen.append(({e for _, _, e in spans}, [w for w in words if not any(a < w[1] and w[0] < z for a, z, _ in spans)]))
+    has = [(es, {w for _, _, w in ws}) for es, ws in seen]
+    told = set()
+    for e in {e for es, _ in has for e in es}:
+        rows_e = sum(e in es for es, _ in has)
+        for t in {t for es, ts in has if e in es for t in ts}:
+            rows_t = sum(t in ts for _, ts in has)
+            both = [text for (_, text), (es, ts) in zip(rows, has) if e in es and t in ts]
+            given = len(both) / rows_t
+            if len(set(both)) >= support and given >= share and math.log2(given * len(rows) / rows_e) >= bits:
+                told.add(t)
+    return told, {i: sorted((a, z) for a, z, w in ws if w in told) for (i, _), (_, ws) in zip(rows, seen)}
+
+
+def test_terms_of_whole_documents(spark):
+    far = "Alias Zanzibar opens this note. Then a long way of other common words here goes on and on {}, until a line names a.b@c.de at last."
+    rows = [(i, far.format("abcd"[i])) for i in range(4)] + [(10 + i, "this note opens: other common words, a long line until last, then names here goes alias") for i in range(90)]
+    rows += [(160, "They met ZANZIBAR again, and zanzibarian cats."), (161, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.detect(docs, everywhere=True).collect()}
+    assert got[160]["spans"] == "term:9:17" and got[0]["spans"].startswith("term:6:14,") and got[0]["n_terms"] == 1 and got[10]["n_terms"] == got[161]["n_terms"] == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, everywhere=True).collect()}
+    assert clean[160] == "They met <TERM> again, and zanzibarian cats." and clean[161] is None
+
+
+def test_terms_everywhere_against_direct_counts(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdéÉXyz") for _ in range(rng.randrange(3, 7))) for _ in range(150)]
+    people = ["a.b@c.de", "x@y.zz", "+1 (743) 555-3824", "10.1.2.3", "who@else.org"]
+    rows = []
+    for i in range(200):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 9))]
+        if i % 9 == 0:
+            k = rng.randrange(5)
+            words += [people[k], vocabulary[k].upper(), f"secret{vocabulary[-1 - k]}"]
+            rng.shuffle(words)
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(words)))
+    rows += [(300, f"x{people[0]}é SECRET{vocabulary[-1]} {vocabulary[0]}"), (301, f"secret{vocabulary[-2]}"), (302, rows[9][1]), (303, "")]
+    told, want = told_by_hand(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert told and want[301]
+    for most in (500_000, 0):
+        got = {r["doc_id"]: sorted((x["start"], x["end"]) for x in r["all"] if x["kind"] == 4) for r in pii.detect(docs, everywhere=True, most_broadcast=most).collect()}
+        assert got == want
+    assert pii.detect(docs.limit(0), everywhere=True).collect() == []
