@@ -5,6 +5,10 @@ places; windows of five template words are hashed and joined by hash; the matche
 consistent slots: along one alignment (document place minus item place) each value that the item has in a slot must stand for
 one value in the document. So a question with other numbers or names is caught, and a chance meeting of templates isn't.
 
+A capitalised word that begins a sentence, line or quotation may be a name or not, so each window has two forms: with such words as they
+are, and with every capitalised word as a name. Each form is matched with its like and has alignments of its own; a window counts when either
+form is found. White space is one space before names are looked for.
+
 An item counts as found when consistent alignments cover at least ``coverage`` of its windows, or ``enough`` windows
 (13 words in a row make 9). Windows with under two words besides placeholders say nothing and are left out.
 
@@ -28,12 +32,15 @@ UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|mph|km/h|l|ml|s|sec|seconds?|min|
 NUM, UNIT, NAME = "‹num›", "‹unit›", "‹name›"
 
 
-def canonical(text: Column) -> Column:
-    """The text with placeholders, lower-cased; it has as many words as the text."""
-    out = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;:] )\p{Lu}\p{Ll}+", NAME)
+def canonical(text: Column, every_name: bool = False) -> Column:
+    """The text with placeholders, lower-cased; it has as many words as the text. every_name: capitalised words at the start of sentences too."""
+    out = F.regexp_replace(text, SPACE, " ")
+    out = F.regexp_replace(out, r"(?<=[\p{Ll}\p{Nd},;:] )\p{Lu}\p{Ll}+", NAME)
     out = F.regexp_replace(out, r"[0-9]+(?:[.,][0-9]{1,9}){0,4}", NUM)
     out = F.regexp_replace(out, rf"(?i)(?<={NUM}|{NUM} )(?:{UNITS})(?![\p{{L}}\p{{Nd}}])", UNIT)
     out = F.regexp_replace(out, rf"[$€£](?={NUM})", UNIT)
+    if every_name:
+        out = F.regexp_replace(out, r"(?<![\p{L}\p{Nd}‹])\p{Lu}\p{Ll}+", NAME)
     return F.lower(out)
 
 
@@ -47,15 +54,16 @@ def _hashes(tokens: Column, width: int) -> Column:
 
 
 def _item_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, place, hash, slots: array of (offset, value), windows of the item)."""
+    """(item_id, place, form, hash, slots: array of (offset, value), windows of the item)."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), blank(text_col).alias("text"))
-    items = items.withColumn("canon", words(canonical(F.col("text")))).withColumn("raw", words(F.col("text")))
-    rows = items.select("item_id", "canon", "raw", F.posexplode(_hashes(F.col("canon"), width)).alias("place", "hash"))
+    forms = F.explode(F.array(*(F.struct(F.lit(k).alias("form"), words(canonical(F.col("text"), k == 1)).alias("canon")) for k in (0, 1)))).alias("x")
+    items = items.select("item_id", words(F.col("text")).alias("raw"), forms).select("item_id", "raw", "x.*")
+    rows = items.select("item_id", "form", "canon", "raw", F.posexplode(_hashes(F.col("canon"), width)).alias("place", "hash"))
     window = F.slice("canon", F.col("place") + 1, width)
     is_slot = lambda w: w.contains("‹")
     slots = F.filter(F.transform(window, lambda w, j: F.struct(j.alias("at"), F.when(is_slot(w), F.lower(F.element_at("raw", F.col("place") + j + 1))).alias("value"))), lambda s: s["value"].isNotNull())
     plain = F.size(F.filter(window, lambda w: ~is_slot(w)))
-    rows = rows.select("item_id", "place", "hash", slots.alias("slots"), plain.alias("plain")).filter("plain >= 2").drop("plain")
+    rows = rows.select("item_id", "form", "place", "hash", slots.alias("slots"), plain.alias("plain")).filter("plain >= 2").drop("plain")
     sizes = rows.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
     return rows.join(sizes, "item_id")
 
@@ -67,19 +75,27 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float
     keys = items.select("hash").distinct()
     text = blank(text_col)
     rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
-    # the words are a column of their own: inside the lambda they would be made again for each window
-    hashed = rows.select("row", words(canonical(F.col("text"))).alias("canon")).select("row", F.posexplode(_hashes(F.col("canon"), width)).alias("at", "hash"))
+    # the words are columns of their own: inside the lambda they would be made again for each window
+    hashed = rows.select("row", *(words(canonical(F.col("text"), k == 1)).alias(f"c{k}") for k in (0, 1)))
+    hashed = hashed.select("row", _hashes(F.col("c0"), width).alias("h0"), F.when(F.col("c0") != F.col("c1"), _hashes(F.col("c1"), width)).alias("h1"))
+    # form 2: both forms are the same window
+    one = lambda h, k, at: F.struct(k.alias("form"), at.alias("at"), h.alias("hash"))
+    other = lambda at: F.element_at("h1", at + 1)
+    first = F.transform("h0", lambda h, at: one(h, F.when(F.col("h1").isNull() | (other(at) == h), F.lit(2)).otherwise(F.lit(0)), at))
+    second = F.filter(F.transform("h1", lambda h, at: one(h, F.when(F.element_at("h0", at + 1) != h, F.lit(1)), at)), lambda x: x["form"].isNotNull())
+    hashed = hashed.select("row", F.when(F.col("h1").isNull(), first).otherwise(F.concat(first, second)).alias("all"))
+    hashed = hashed.select("row", F.explode("all").alias("x")).select("row", F.col("x.form").alias("kind"), "x.at", "x.hash")
     hits = hashed.join(F.broadcast(keys) if small else keys, "hash", "left_semi")
     hits = materialise(hits.distinct(), "window-hits")
-    met = hits.join(items, "hash").withColumn("shift", F.col("at") - F.col("place"))
+    met = hits.join(items, "hash").filter((F.col("kind") == 2) | (F.col("kind") == F.col("form"))).withColumn("shift", F.col("at") - F.col("place"))
 
     # slot values of the documents that have a match with slots
-    slotted = met.filter(F.size("slots") > 0).select("row", "item_id", "shift", "at", F.explode("slots").alias("slot"))
+    slotted = met.filter(F.size("slots") > 0).select("row", "item_id", "form", "shift", "at", F.explode("slots").alias("slot"))
     with_slots = slotted.select("row").distinct()
     raw = rows.join(with_slots, "row", "left_semi").dropDuplicates(["row"]).select("row", words(F.col("text")).alias("raw"))
-    values = slotted.join(raw, "row").select("row", "item_id", "shift", F.col("slot.value").alias("value"), F.lower(F.element_at("raw", F.col("at") + F.col("slot.at") + 1)).alias("own"))
-    bad = values.groupBy("row", "item_id", "shift", "value").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a <> z").select("row", "item_id", "shift").distinct()
-    fine = met.join(bad, ["row", "item_id", "shift"], "left_anti")
+    values = slotted.join(raw, "row").select("row", "item_id", "form", "shift", F.col("slot.value").alias("value"), F.lower(F.element_at("raw", F.col("at") + F.col("slot.at") + 1)).alias("own"))
+    bad = values.groupBy("row", "item_id", "form", "shift", "value").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a <> z").select("row", "item_id", "form", "shift").distinct()
+    fine = met.join(bad, ["row", "item_id", "form", "shift"], "left_anti")
     counted = fine.groupBy("row", "item_id").agg(F.countDistinct("place").alias("matched"), F.first("windows").alias("windows"))
     return counted.filter(F.col("matched") >= F.least(F.ceil(F.col("windows") * coverage), F.lit(enough)))
 

@@ -90,3 +90,22 @@ def test_canonical_keeps_word_places(spark):
     for text in ["Pay $5 or 5kg, 1,000.5 Miles by Ann Lee; x9y", "12.34.56.78.90.12 a", "é 3 h. At Rome", "5 %"]:
         row = spark.createDataFrame([(text,)], "text string").select(dec.words(dec.canonical(dec.F.col("text"))).alias("a"), dec.words(dec.F.col("text")).alias("b")).first()
         assert len(row["a"]) == len(row["b"]), row
+
+
+def test_names_at_sentence_starts(spark):
+    items = [
+        (1, "Tom has 12 apples. Tom gives 5 apples to Sue. How many apples does Tom have left?"),
+        (2, "Janet sells 16 eggs at 2 dollars each. Janet bakes 4 muffins. How much does Janet make a day?"),
+        (3, "The red bird sings at dawn near Anna while rain falls. The old dog sleeps by the warm fire"),
+    ]
+    docs = [
+        (1, "Ben has 30 apples. Ben gives 9 apples to Ann. How many apples does Ben have left?"),
+        (2, "Q:\n\"Ben has  30 apples.\nBen gives 9 apples\tto Ann. How many apples does Ben have left?"),
+        (3, "Maria sells 20 eggs at 3 dollars each. Maria bakes 6 muffins. How much does Maria make a day?"),
+        (4, "Ben has 30 apples. Kim gives 9 apples to Ann. How many apples does Lee have left?"),
+        (5, "The red bird sings at dawn near Mary while rain falls. An old dog sleeps by the warm fire"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for broadcast in (500_000, 0):
+        got = {r["doc_id"]: r["items"] for r in dec.report(spark.createDataFrame(docs, "doc_id long, text string"), bench, most_broadcast=broadcast).collect()}
+        assert got == {1: [1], 2: [1], 3: [2], 4: [], 5: [3]}
