@@ -12,9 +12,13 @@ form is found. White space is one space before names are looked for.
 An item counts as found when consistent alignments cover at least ``coverage`` of its windows, or ``enough`` windows
 (13 words in a row make 9). Windows with under two words besides placeholders say nothing and are left out.
 
+With ``exact`` (op7_decontamination, pipeline) items without such a window, and items in scripts without spaces, are found verbatim: all their units in
+a row, where a unit is a lower-cased word, or one character of a script without spaces. Their first 8, 4, 2 or 1 units are joined
+by hash, then all units are compared; such an item counts as one window. Without ``exact`` these items match nothing.
+
 The benchmark's windows are broadcast when they number ``most_broadcast`` at most (about 25 MB), else shuffled.
 
-Defined results: null or empty text has no windows; items or texts of fewer than five words match nothing; repeated rows get the same
+Defined results: null or empty text has no windows; items or texts of fewer than five words match nothing but by ``exact``; repeated rows get the same
 result each; benchmark items with equal text all count; extra columns are ignored by ``find`` and kept by ``remove``; an empty table gives an
 empty result, an empty benchmark leaves every document clean.
 """
@@ -48,6 +52,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+#: Scripts without spaces, and their punctuation.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\u3000-\u303F\uFF00-\uFFEF]"
+
+
+def units(text: Column) -> Column:
+    return words(F.regexp_replace(F.lower(text), f"({UNSPACED})", " $1 "))
+
+
 def _hashes(tokens: Column, width: int) -> Column:
     places = F.sequence(F.lit(1), F.size(tokens) - width + 1)
     return F.when(F.size(tokens) >= width, F.transform(places, lambda i: F.xxhash64(F.slice(tokens, i, width))))
@@ -68,7 +80,34 @@ def _item_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str)
     return rows.join(sizes, "item_id")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.8, enough: int = 9, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _exact(rows: DataFrame, benchmark: DataFrame, width: int, most_broadcast: int, id_col: str, text_col: str) -> DataFrame | None:
+    """(row, item_id, matched, windows) of the items that windows can't find and the rows that hold them; None where there are no such items."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), blank(text_col).alias("text")).withColumn("canon", words(canonical(F.col("text"))))
+    plain = lambda i: F.size(F.filter(F.slice("canon", i, width), lambda w: ~w.contains("‹"))) >= 2
+    has = F.when(F.size("canon") >= width, F.exists(F.sequence(F.lit(1), F.size("canon") - width + 1), plain)).otherwise(False)
+    items = items.filter(~has | F.col("text").rlike(UNSPACED)).select("item_id", units(F.col("text")).alias("units")).filter(F.size("units") > 0)
+    n = F.size("units")
+    items = items.withColumn("lead", F.when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1))
+    items = materialise(items.withColumn("hash", F.xxhash64(F.slice("units", F.lit(1), F.col("lead")))), "exact-items")
+    leads = [r["lead"] for r in items.select("lead").distinct().collect()]
+    if not leads:
+        return None
+    keys = items.select("lead", "hash").distinct()
+    keys = F.broadcast(keys) if keys.count() <= most_broadcast else keys
+    own = rows.select("row", units(F.col("text")).alias("own"))
+    none = F.expr("CAST(array() AS array<struct<lead:int,at:int,hash:bigint>>)")
+
+    def starting(k: int) -> Column:
+        return F.coalesce(F.transform(_hashes(F.col("own"), k), lambda h, at: F.struct(F.lit(k).alias("lead"), (at + 1).alias("at"), h.alias("hash"))), none)
+
+    hits = own.select("row", F.explode(F.concat(*(starting(k) for k in leads))).alias("x")).select("row", "x.*").join(keys, ["lead", "hash"], "left_semi")
+    hits = materialise(hits.distinct(), "exact-hits")
+    held = own.join(hits.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    met = hits.join(items, ["lead", "hash"]).join(held, "row").filter(F.slice("own", F.col("at"), F.size("units")) == F.col("units"))
+    return met.select("row", "item_id").distinct().select("row", "item_id", F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("windows"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.8, enough: int = 9, most_broadcast: int = 500_000, exact: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(row, item_id, matched, windows) of documents and the items found in them; row is a hash of doc_id and text."""
     items = materialise(_item_windows(benchmark, width, item_col, item_text_col), "item-windows")
     small = items.count() <= most_broadcast
@@ -97,7 +136,11 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float
     bad = values.groupBy("row", "item_id", "form", "shift", "value").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a <> z").select("row", "item_id", "form", "shift").distinct()
     fine = met.join(bad, ["row", "item_id", "form", "shift"], "left_anti")
     counted = fine.groupBy("row", "item_id").agg(F.countDistinct("place").alias("matched"), F.first("windows").alias("windows"))
-    return counted.filter(F.col("matched") >= F.least(F.ceil(F.col("windows") * coverage), F.lit(enough)))
+    counted = counted.filter(F.col("matched") >= F.least(F.ceil(F.col("windows") * coverage), F.lit(enough)))
+    verbatim = _exact(rows, benchmark, width, most_broadcast, item_col, item_text_col) if exact else None
+    if verbatim is None:
+        return counted
+    return counted.unionByName(verbatim).groupBy("row", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

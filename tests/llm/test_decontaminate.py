@@ -109,3 +109,17 @@ def test_names_at_sentence_starts(spark):
     for broadcast in (500_000, 0):
         got = {r["doc_id"]: r["items"] for r in dec.report(spark.createDataFrame(docs, "doc_id long, text string"), bench, most_broadcast=broadcast).collect()}
         assert got == {1: [1], 2: [1], 3: [2], 4: [], 5: [3]}
+
+
+def test_items_without_windows(spark):
+    items = [(1, "12 15 18 21 24 27 30 ?"), (2, "Who wrote Faust?"), (3, "1+1等于几？请写出答案。"), (4, "日本の首都はどこですか"), (5, ""), (6, None), (7, "what is the tallest mountain on this whole earth today")]
+    docs = [
+        (1, "next in 12 15\n18  21 24 27 30 ? say"), (2, "12 15 18 21 24 27 31 ?"), (3, "Q: who WROTE faust? Goethe"), (4, "who wrote it"), (5, "问：1+1等于几？请写出答案。答：二"), (6, "1+1等于几？请写"),
+        (7, "質問日本の首都はどこですか東京です"), (8, ""), (9, None), (10, "so what is the tallest mountain on this whole earth today"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for broadcast in (500_000, 0):
+        got = {r["doc_id"]: r["items"] for r in dec.report(frame, bench, exact=True, most_broadcast=broadcast).collect()}
+        assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [], 7: [4], 8: [], 9: [], 10: [7]}
+    assert sorted(r["doc_id"] for r in dec.remove(frame, bench, exact=True).collect()) == [2, 4, 6, 8, 9]
