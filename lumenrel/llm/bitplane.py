@@ -12,7 +12,7 @@ the end id, and writes one file a partition; ``read_documents`` reads the files
 their own and the manifest lists those that succeeded.
 
 Defined results: null texts are empty (the end id alone); null doc_ids come first and read back as null; equal doc_ids keep
-all their rows, in no set order among themselves; an empty table gives no files and no rows; extra columns are ignored.
+all their rows, in the order of a hash of their texts; an empty table gives no files and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -157,75 +157,230 @@ class Reader:
 
 
 class WordEncoder:
-    """Whole texts through a tokenizers file, with the ids of words kept between texts.
+    """Whole texts through a tokenizers file, with the ids of pieces of words kept between texts.
 
     The pre-tokenizer of word_bpe files never joins over white space and normalises characters one by one, so a text's
-    ids are its words' ids in order; a word new to the cache goes through the library. Letters and the punctuation behind them
-    are separate pieces, so a word such as ``then,`` needs only its two parts. Texts that hold characters beyond
-    Latin, or a special token's "<|", go through the library whole. The cache is emptied at ``most`` words.
+    ids are its words' ids in order. It also cuts wherever letters meet the signs of ``TAIL``, so words are cut there too: ``then,`` is two
+    pieces. Pieces are found, hashed and looked up as arrays over the bytes of many texts; only a piece new to the table goes through
+    the library, and one of lower-cased Latin letters needs only its model, without normalizer and pattern. Texts that hold characters
+    beyond Latin, a special token's "<|" or a piece of over ``LONGEST`` bytes go through the library whole.
+
+    The table has the 64-bit hash of each piece: at ``most`` pieces, when it is emptied, the chance that any two of them share one is under 1 in 10 million.
     """
 
     FAR = re.compile("[^\x00-\x1b\x20-ɏ]|<\\|")
     TAIL = ".,!?;:#$%&*|"
+    LONGEST = 256
+    _SPACE, _LETTER, _TAIL, _OTHER = range(4)
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 1_000_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
-        self.most, self.cache = most, {}
-        probe = {t: self.lib.encode(t, add_special_tokens=False).ids for t in ("ab", "ab ab", "ab,", ",")}
-        self.by_word = probe["ab ab"] == probe["ab"] * 2 and probe["ab,"] == probe["ab"] + probe[","] and self.lib.normalizer is not None and "Lowercase" in str(self.lib.normalizer)
+        probe = {t: self.lib.encode(t, add_special_tokens=False).ids for t in ("ab", "ab ab", "ab,", ",", ",ab")}
+        self.by_word = probe["ab ab"] == probe["ab"] * 2 and probe["ab,"] == probe["ab"] + probe[","] and probe[",ab"] == probe[","] + probe["ab"]
+        self.by_word = self.by_word and self.lib.normalizer is not None and "Lowercase" in str(self.lib.normalizer)
         size = self.lib.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.by_word = self.by_word and bool(self.ends[probe["ab"][-1]])
-
-    def _learn(self, words: list[str]) -> None:
-        plain, tailed, odd = [], [], []
-        for w in words:
-            if w.isalpha():
-                plain.append(w)
-            elif (core := w.rstrip(self.TAIL)).isalpha() or not core:
-                tailed.append((w, core, w[len(core) :]))
-            else:
-                odd.append(w)
-        cache = self.cache
-        more = {x for _, core, tail in tailed for x in (core, tail) if x and x not in cache}
-        plain += [x for x in more if x.isalpha()]
-        odd += [x for x in more if not x.isalpha()]
-        plain = list(dict.fromkeys(plain))
+        self.last = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.by_word = self.by_word and bool(self.last[probe["ab"][-1]])
+        self.model = Tokenizer(self.lib.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = "a zebra straße ñandú łódź žižkov " + " ".join(chr(c) for c in range(0x61, 0x250) if chr(c).isalpha() and chr(c).lower() == chr(c))
+        if self.lib.encode(letters, add_special_tokens=False).ids != self.model.encode(letters, add_special_tokens=False).ids:
+            self.model = self.lib
+        self.kinds = np.full(256, self._OTHER, np.uint8)
+        self.kinds[[9, 10, 11, 12, 13, 32]] = self._SPACE
+        self.kinds[97:123] = self._LETTER
+        self.kinds[list(self.TAIL.encode())] = self._TAIL
+        rng = np.random.default_rng(1)
+        self.of_byte = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        base = 0x9E3779B97F4A7C15
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.powers = self.unpowers = np.ones(0, np.uint64)
+        self.most = most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.rows = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        #: ids of piece r: pool[start[r]:start[r + 1]]
+        self.start, self.pool, self.n = np.zeros(1 << 15, np.int64), np.zeros(1 << 17, "<u4"), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of the pieces with these hashes, -1 for unknown ones."""
+        mask = np.int64(len(self.keys) - 1)
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        got = self.keys[slot]
+        out = np.where(got == h, self.rows[slot], -1)
+        left = np.flatnonzero((got != h) & (got != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & mask
+            got = self.keys[slot[left]]
+            same = got == h[left]
+            out[left[same]] = self.rows[slot[left[same]]]
+            left = left[~same & (got != 0)]
+        return out
+
+    def _put(self, h: np.ndarray, rows: np.ndarray) -> None:
+        """Enters distinct new hashes."""
+        mask = np.int64(len(self.keys) - 1)
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            at = slot[left]
+            free = left[self.keys[at] == 0]
+            self.keys[slot[free]] = h[free]  # of several in one slot the last stays
+            won = free[self.keys[slot[free]] == h[free]]
+            self.rows[slot[won]] = rows[won]
+            left = left[self.keys[slot[left]] != h[left]]
+            slot[left] = (slot[left] + 1) & mask
+
+    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of new pieces, by the library."""
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        plain = [i for i, w in enumerate(pieces) if w.isalpha()]
         for i in range(0, len(plain), 4000):
             part = plain[i : i + 4000]
-            (found,) = self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            (found,) = self.model.encode_batch_fast([" ".join([pieces[j] for j in part])], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cut) != len(part):
-                odd += part
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, z in zip(part, cut):
-                cache[w] = raw[4 * a : 4 * z]
-                a = z
-        for i in range(0, len(odd), 4000):
-            part = odd[i : i + 4000]
-            for w, found in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(found.ids, "<u4").tobytes()
-        for w, core, tail in tailed:
-            cache[w] = (cache[core] if core else b"") + (cache[tail] if tail else b"")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            cut = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(cut) == len(part):
+                for j, a, z in zip(part, [0, *cut], cut):
+                    out[j] = ids[a:z]
+        odd = [i for i, x in enumerate(out) if x is None]
+        if odd:
+            for j, found in zip(odd, self.lib.encode_batch_fast([pieces[j] for j in odd], add_special_tokens=False)):
+                out[j] = np.array(found.ids, "<u4")
+        return out
+
+    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        if self.n + len(h) > self.most and self.n:
+            raise OverflowError
+        ids = self._ids(pieces)
+        ends = self.start[self.n] + np.cumsum([len(x) for x in ids])
+        while self.n + len(h) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while ends[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.start[self.n] : ends[-1]] = np.concatenate(ids)
+        self.start[self.n + 1 : self.n + 1 + len(h)] = ends
+        rows = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        if 2 * self.n > len(self.keys):
+            old, old_rows = self.keys, self.rows
+            size = len(self.keys)
+            while 2 * self.n > size:
+                size *= 2
+            self.keys, self.rows = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            held = np.flatnonzero(old)
+            self._put(old[held], old_rows[held])
+        self._put(h, rows)
+
+    def _is_far(self, text: str) -> bool:
+        try:  # one byte a character: only these can be wrong
+            text.encode("latin-1")
+            return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        except UnicodeEncodeError:
+            return self.FAR.search(text) is not None
+
+    def _pieces(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces in UTF-8 bytes that end with white space."""
+        kind = self.kinds[raw]
+        lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))
+        if len(lead):
+            after = raw[lead + 1]
+            kind[lead] = kind[lead + 1] = np.where((raw[lead] == 0xC3) & ((after == 0x97) | (after == 0xB7)), self._OTHER, self._LETTER)
+        edge = np.empty(len(kind), bool)
+        edge[0] = True
+        # white space against the rest, letters against tails; other characters stay with what is beside them
+        now, before = kind[1:], kind[:-1]
+        edge[1:] = ((now == self._SPACE) != (before == self._SPACE)) | (now * before == self._LETTER * self._TAIL) & (now != before)
+        at = np.flatnonzero(edge)
+        ends = np.append(at[1:], len(kind))
+        words = kind[at] != self._SPACE
+        return at[words], ends[words]
+
+    def _hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        while len(self.powers) < len(raw):
+            n = max(1 << 16, 1 << (len(raw) - 1).bit_length())
+            ones = np.full(n, self.base, np.uint64)
+            ones[0] = 1
+            self.powers = np.multiply.accumulate(ones)
+            ones[1:] = self.inverse
+            self.unpowers = np.multiply.accumulate(ones)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.of_byte[raw] * self.powers[: len(raw)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.unpowers[start]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return np.where(h == 0, np.uint64(1), h)
+
+    def _near(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of texts by their pieces; None for texts with a piece that is too long."""
+        buffer = b"\n".join([*texts, b""])
+        raw = np.frombuffer(buffer, np.uint8)
+        start, end = self._pieces(raw) if len(raw) else (np.empty(0, np.int64),) * 2
+        h = self._hashes(raw, start, end)
+        rows = self._find(h)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            unknown, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            try:
+                self._learn(unknown, [buffer[a:z].decode() for a, z in zip(start[first].tolist(), end[first].tolist())])
+            except OverflowError:
+                self._empty()
+                return self._near(texts)
+            rows[new] = self._find(h[new])
+        begin = self.start[rows]
+        counts = self.start[rows + 1] - begin
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.pool[np.repeat(begin - upto[:-1], counts) + np.arange(upto[-1])]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = upto[np.searchsorted(start, bounds)].tolist()
+        out = [ids[a:z].tobytes() for a, z in zip(cut, cut[1:])]
+        for i in np.searchsorted(bounds, start[end - start > self.LONGEST], "right").tolist():
+            out[i - 1] = None
+        return out
+
+    @staticmethod
+    def _parts(raw: bytes, at_once: int) -> Iterator[bytes]:
+        """About at_once bytes each, cut at spaces or line ends; one without any is longer."""
+        a = 0
+        while a < len(raw):
+            z = next((x for x in (raw.find(b" ", a + at_once), raw.find(b"\n", a + at_once)) if x >= 0), len(raw))
+            yield raw[a:z]
+            a = z
+
+    def encode(self, texts: list[str], at_once: int = 1 << 18) -> list[bytes]:
+        """at_once: bytes that are worked on together; a longer text is taken in parts, cut at white space."""
         out: list[bytes | None] = [None] * len(texts)
-        far = [i for i, t in enumerate(texts) if not self.by_word or self.FAR.search(t)]
-        for i, found in zip(far, self.lib.encode_batch_fast([texts[i] for i in far], add_special_tokens=False)):
-            out[i] = np.array(found.ids, "<u4").tobytes()
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        split = [(i, t.lower().split()) for i, t in enumerate(texts) if out[i] is None]
-        new = set().union(*(w for _, w in split)).difference(self.cache)
-        if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words))
+        held, size = [], 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(held, self._near([raw for _, raw in held])):
+                out[i] = ids
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if self.by_word and not self._is_far(text):
+                raw = text.lower().encode()
+                if b"\xc2" in raw:
+                    raw = raw.replace(b"\xc2\x85", b" ").replace(b"\xc2\xa0", b" ")
+                if len(raw) > 2 * at_once:
+                    parts = [self._near([x])[0] for x in self._parts(raw, at_once)]
+                    out[i] = None if None in parts else b"".join(parts)
+                    continue
+                held.append((i, raw))
+                size += len(raw)
+                if size > at_once:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        far = [i for i, ids in enumerate(out) if ids is None]
+        if far:
+            for i, found in zip(far, self.lib.encode_batch_fast([texts[i] for i in far], add_special_tokens=False)):
+                out[i] = np.array(found.ids, "<u4").tobytes()
         return out
 
 
@@ -246,7 +401,8 @@ def encode_documents(
     spark = docs.sparkSession
     directory = directory or scratch(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    # the hash of the text parts the rows of one doc_id, or of none, among ranges
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie").withColumn("part", F.spark_partition_id())
     tail = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,6 +50,22 @@ def test_encoder_equals_library_on_any_text(text):
     assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.lib.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abZ éß×÷«.,!?'s12-\n\t\x85\xa0ŁƎ", max_size=20), max_size=5))
+def test_encoder_cuts_where_the_library_cuts(texts):
+    enc = bitplane.encoder(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [enc.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_with_a_full_table_and_texts_in_parts():
+    words = [f"{a}{b}{c}" for a in "straße zu über".split() for b in "abcdefghij" for c in "klmnopqrst"]
+    texts = [" ".join(words[i : i + 60]) + ", end." for i in range(0, len(words), 40)] + [" ".join(words * 3), "x" * 5000 + " y", ""]
+    enc = bitplane.WordEncoder(PATH, most=150)
+    want = [enc.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts, at_once=500)] == want
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_documents_round_trip(spark, bits):
     rows = [(5, "b c", 1), (2, None, 2), (9, "", 3), (2, "a twin of 2", 4), (None, "no id", 5), (7, "long " * 30_000, 6)]
