@@ -57,7 +57,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    back = warc.round_trip(read_table(spark, sf_dir, "pages"), payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -54,13 +54,45 @@ def test_round_trip_over_any_split(spark, split):
         assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")
 
 
-def test_magic_inside_compressed_data_is_no_record(tmp_path):
-    inner = warc.encode_record(1, "u", b"p", hashlib.sha1(b"p").hexdigest(), None, "2024-01-01T00:00:00Z")
-    stored = gzip.compress(b"no warc" + inner, compresslevel=0)
-    file = tmp_path / "x.warc.gz"
-    file.write_bytes(stored[:-8] + b"\x1f\x8b\x08" + inner)
-    found = list(warc.records_in_range(str(file), 0, file.stat().st_size, file.stat().st_size))
-    assert found and found[-1][1]["warc-record-id"] == "<urn:page:1>"
+def record(page_id, payload, level=None):
+    member = warc.encode_record(page_id, "u", payload, hashlib.sha1(payload).hexdigest(), None, "2024-01-01T00:00:00Z")
+    return member if level is None else gzip.compress(gzip.decompress(member), compresslevel=level)
+
+
+def manifest(spark, file, data, records=None):
+    file.write_bytes(data)
+    return spark.createDataFrame([(f"file://{file}", len(data), records)], "path string, bytes long, records long")
+
+
+@pytest.mark.parametrize("split", [97, 700, 8 << 20])
+def test_stored_members_inside_a_payload_are_no_records(spark, tmp_path, split):
+    inner = record(777, b"inner", 0) + record(778, b"second", 9) + record(779, b"cut off" * 20)[:60] + b"\x1f\x8b\x08"
+    outer = [record(1, b"before" + inner * 3 + b"after", 0), record(2, b"x" * 3000), record(3, inner, 0), record(4, b"y")]
+    found = warc.read_archives(manifest(spark, tmp_path / "x.warc.gz", b"".join(outer), 4), split_bytes=split).collect()
+    assert sorted(r["page_id"] for r in found) == [1, 2, 3, 4]
+    assert {r["page_id"]: r["payload"] for r in found}[3] == inner
+
+
+@pytest.mark.parametrize("split", [100, 8 << 20])
+def test_broken_archives_are_no_silent_loss(spark, tmp_path, split):
+    good = [record(k, bytes(f"page {k} " * 40, "ascii")) for k in range(3)]
+    wrong_trailer = good[1][:-6] + bytes([good[1][-6] ^ 1]) + good[1][-5:]
+    lost_magic = b"\0" + good[1][1:]
+    for data in (good[0] + wrong_trailer + good[2], good[0] + good[1] + good[2][:-20], good[0] + lost_magic + good[2]):
+        m = manifest(spark, tmp_path / "x.warc.gz", data)
+        with pytest.raises(ValueError, match="x.warc.gz"):
+            warc.read_archives(m, split_bytes=split)
+        found = warc.read_archives(m, split_bytes=split, errors="rows").collect()
+        assert len([r for r in found if r["error"] is None]) == 2 and any(r["error"] for r in found)
+    with pytest.raises(ValueError, match="of 4 records"):
+        warc.read_archives(manifest(spark, tmp_path / "x.warc.gz", b"".join(good), 4), split_bytes=split)
+
+
+def test_foreign_records(spark, tmp_path):
+    info = b"software: x\r\n"
+    raw = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:4f-1>\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(info), info)
+    (got,) = warc.read_archives(manifest(spark, tmp_path / "x.warc.gz", gzip.compress(raw))).collect()
+    assert (got["page_id"], got["url"], got["record_type"], got["payload"]) == (None, None, "warcinfo", info)
 
 
 def test_empty_table(spark):
