@@ -29,23 +29,51 @@ class Auth:
     def _hash(password: str, salt: bytes) -> str:
         return hashlib.scrypt(password.encode(), salt=salt, n=2**14, r=8, p=1).hex()
 
-    def create(self, user: str, password: str) -> None:
+    def create(self, user: str, password: str, admin: bool = False) -> None:
         if user in self.users:
             raise UserError(f"user exists: {user}")
         salt = secrets.token_bytes(16)
-        self.users[user] = {"salt": salt.hex(), "hash": self._hash(password, salt), "grants": []}
+        self.users[user] = {"salt": salt.hex(), "hash": self._hash(password, salt), "grants": [], "admin": admin}
+        self._save()
+
+    def is_admin(self, user: str | None) -> bool:
+        """The owner (None) is one, too."""
+        return user is None or self._user(user).get("admin", False)
+
+    def need_admin(self, user: str | None, what: str) -> None:
+        if not self.is_admin(user):
+            raise PermissionDenied(f"{user}: {what} is for administrators")
+
+    def need_owner(self, user: str | None, table: str, what: str) -> None:
+        """An administrator, or a user with ALL on the whole table."""
+        if not self.is_admin(user) and not any(g["kind"] == "ALL" and g["table"] == table.lower() and g["columns"] is None for g in self._user(user)["grants"]):
+            raise PermissionDenied(f"{user}: {what} on {table}")
+
+    def user_of(self, token: str) -> str:
+        if token not in self.sessions:
+            raise PermissionDenied("no such session")
+        return self.sessions[token]
+
+    def logout(self, token: str) -> None:
+        self.sessions.pop(token, None)
+
+    def forget(self, table: str) -> None:
+        """Grants on a dropped table go with it."""
+        for own in self.users.values():
+            own["grants"] = [g for g in own["grants"] if g["table"] != table.lower()]
         self._save()
 
     def alter(self, user: str, password: str) -> None:
-        grants = self._user(user)["grants"]
+        former = self._user(user)
         del self.users[user]
-        self.create(user, password)
-        self.users[user]["grants"] = grants
+        self.create(user, password, former.get("admin", False))
+        self.users[user]["grants"] = former["grants"]
         self._save()
 
     def drop(self, user: str) -> None:
         self._user(user)
         del self.users[user]
+        self.sessions = {t: u for t, u in self.sessions.items() if u != user}
         self._save()
 
     def login(self, user: str, password: str) -> str:
@@ -76,8 +104,8 @@ class Auth:
         self._save()
 
     def check(self, user: str | None, kind: str, table: str, columns: list[str]) -> None:
-        """user None is the owner and may do all."""
-        if user is None:
+        """The owner (None) and administrators may do all."""
+        if self.is_admin(user):
             return
         for g in self._user(user)["grants"]:
             if g["table"] == table.lower() and g["kind"] in (kind, "ALL"):

@@ -16,18 +16,11 @@ def uuidv7() -> Column:
     return F.lower(F.expr(_UUID_SQL))
 
 
-def scaled_round(x: Column, digits: int = 0) -> Column:
-    """Half away from zero on x * 10**digits as a double; so 1.005 at 2 digits gives 1.0."""
-    return F.round(x * float(10**digits)) / float(10**digits)
-
-
-def int_div(a: Column, b: Column) -> Column:
-    """Truncating division of integers; null when b is 0."""
-    safe = F.when(b != 0, b)
-    return F.call_function("div", a, safe)
-
-
 def register(spark: SparkSession) -> None:
-    """UUIDV7() and UUID_V7() for SQL text."""
+    """UUIDV7(), UUID_V7() and scaled_round() for SQL text.
+
+    scaled_round is half away from zero on x * 10**digits as a double, so 1.005 at 2 digits gives 1.0.
+    """
     for name in ("uuidv7", "uuid_v7"):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}() RETURNS STRING NOT DETERMINISTIC RETURN lower({_UUID_SQL})")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION scaled_round(x DOUBLE, digits INT DEFAULT 0) RETURNS DOUBLE RETURN round(x * pow(10.0D, digits)) / pow(10.0D, digits)")

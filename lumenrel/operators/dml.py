@@ -124,36 +124,54 @@ class Transaction:
             if (not c.nullable or c.name.lower() in keyed) and not rows.filter(F.col(c.name).isNull()).isEmpty():
                 raise NullViolation(f"{table}.{c.name}")
 
-    def check_unique(self, table: str, m: Manifest) -> None:
-        """Keys that are null throughout are exempt."""
-        frame = None
+    def check_unique(self, table: str, m: Manifest, checked: list[str] = ()) -> None:
+        """Raises for keys that occur twice; those that are null throughout are exempt. checked: files whose rows are known to differ among themselves."""
+        old = [f for f in m.files if f in set(checked)]
+        new = [f for f in m.files if f not in set(checked)]
+        if not new:
+            return
+        read = lambda files: self.spark.read.schema(m.schema).parquet(*files)
         for name, index in m.indexes.items():
             if index["unique"]:
-                frame = frame if frame is not None else self.tables.read(table, m)
-                some = F.coalesce(*(F.col(c).cast("string") for c in index["columns"]))
-                twice = frame.filter(some.isNotNull()).groupBy(*index["columns"]).count().filter("count > 1")
-                if not twice.isEmpty():
-                    raise DuplicateKey(f"{name} on {table}({', '.join(index['columns'])})")
+                keys = index["columns"]
+                some = F.coalesce(*(F.col(c).cast("string") for c in keys)).isNotNull()
+                batch = read(new).filter(some).groupBy(*keys).count()
+                twice = not batch.filter("count > 1").isEmpty()
+                if not twice and old:
+                    former, own = read(old).alias("o"), batch.alias("n")
+                    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keys]
+                    twice = not former.join(own, same, "left_semi").isEmpty()
+                if twice:
+                    raise DuplicateKey(f"{name} on {table}({', '.join(keys)})")
+
+    def _may_break_keys(self, m: Manifest, changes: list[Change]) -> bool:
+        keyed = {c.lower() for i in m.indexes.values() if i["unique"] for c in i["columns"]}
+        return any(c.kind == "insert" or c.kind == "update" and keyed & {k.lower() for k in c.assignments} for c in changes)
 
     def commit(self) -> None:
-        for table, changes in list(self.changes.items()):
-            while True:
-                m = self.staged[table]
+        """All tables are checked against their newest versions, then published in one commit; if another was first, again."""
+        while self.changes:
+            for table, changes in self.changes.items():
                 newest = self.tables.version(table)
                 if newest > self.base[table]:
                     self._rebase(table, newest, changes)
-                    m = self.staged[table]
-                self.check_unique(table, m)
+                m = self.staged[table]
+                if self._may_break_keys(m, changes):
+                    self.check_unique(table, m, self.tables.manifest(table, newest).files)
                 m.version = newest + 1
                 m.touched = [f for c in changes for f in (c.ids or [])]
-                if self.tables.publish(table, m):
-                    break
+                m.renumbered = False
+            if self.tables.publish_all({t: self.staged[t] for t in self.changes}):
+                break
         self.rollback()
 
     def _rebase(self, table: str, newest: int, changes: list[Change]) -> None:
         """Onto the newest version: rows that both sides touched conflict, others are changed there anew."""
         ours = [f for c in changes for f in (c.ids or [])]
-        theirs = [f for v in range(self.base[table] + 1, newest + 1) for f in self.tables.manifest(table, v).touched]
+        between = [self.tables.manifest(table, v) for v in range(self.base[table] + 1, newest + 1)]
+        if ours and any(m.renumbered for m in between):
+            raise Conflict(f"{table} was compacted since version {self.base[table]}")
+        theirs = [f for m in between for f in m.touched]
         if ours and theirs:
             read = lambda files: self.spark.read.schema("_txn string, _ord bigint").parquet(*files)
             if not read(ours).join(read(theirs), HIDDEN, "left_semi").isEmpty():

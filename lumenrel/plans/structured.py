@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -111,9 +113,17 @@ def literal(value: Any) -> str:
         return "NULL"
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
-    if isinstance(value, int | float):
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE)"
+    if isinstance(value, int):
         return repr(value)
-    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, Decimal):
+        return f"CAST('{value}' AS DECIMAL({max(len(value.as_tuple().digits), -value.as_tuple().exponent, 1)},{max(0, -value.as_tuple().exponent)}))"
+    if isinstance(value, datetime):
+        return f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "''") + "'"
 
 
 def predicate_sql(where: dict[str, Any], columns: list[str]) -> str:
