@@ -101,24 +101,46 @@ def word_count(col: str | Column) -> Column:
     return F.coalesce(F.regexp_count(F.col(col) if isinstance(col, str) else col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_share: int = 1000, least: int = 100) -> DataFrame:
-    """Left-join ``groups`` (one row a key, column ``size`` = its rows in ``rows``) to ``rows``; hot keys are split off.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left", hot_share: int = 1000, least: int = 100) -> DataFrame:
+    """Join ``groups`` (one row a key, column ``size`` = its rows in ``rows``) to ``rows``, left or inner; hot keys are split off.
 
     A key is hot when it holds over total/hot_share rows (``least`` at least); so there are under
     hot_share hot keys whatever the input is, which bounds the broadcast. Other keys shuffle, and none of their
-    groups is large. ``groups`` should come from a materialised table since it is read three times.
+    groups is large. ``groups`` should come from a materialised table since it is read up to four times.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    limit = max(least, total // hot_share)
-    hot = F.broadcast(groups.filter(F.col(size) > limit).withColumn("__hot", F.lit(True)))
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    limit = max(least, (total or 0) // hot_share)
     extra = [c for c in groups.columns if c != key]
-    first = rows.join(hot, key, "left")
+    if (most or 0) <= limit:
+        return rows.join(groups, key, how).select(*rows.columns, *extra)
+    hot = F.broadcast(groups.filter(F.col(size) > limit))
     cold = groups.filter(F.col(size) <= limit)
-    done = first.filter(F.col("__hot")).select(*rows.columns, *extra)
-    rest = first.filter(F.col("__hot").isNull()).select(*rows.columns).join(cold, key, "left").select(*rows.columns, *extra)
+    done = rows.join(hot, key).select(*rows.columns, *extra)
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, how).select(*rows.columns, *extra)
     return done.unionByName(rest)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while f"__{name}".lower() in taken:
+            name += "_"
+        out.append(f"__{name}")
+    return out
+
+
+def text_key(text: str | Column) -> Column:
+    """128 bits that tell texts apart; null is as empty."""
+    return F.unhex(F.md5(F.encode(blank(text), "UTF-8")))
+
+
 def components(nodes_edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component) for each node with an edge; component = smallest node.
 
@@ -147,7 +169,8 @@ def components(nodes_edges: DataFrame, name: str = "cc") -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
-        edges = materialise(star(star(edges, True), False), name)
+        before, edges = edges, materialise(star(star(edges, True), False), name)
+        discard(before)
         now = mark(edges)
         if now == seen:
             break

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, open_store, scratch
+from ._hashing import HashRows, piece_hashes
 
 HEAD, FOOT = struct.Struct("<4sBBH"), struct.Struct("<QIQQQQ4s")
 _NULL_ID = -(1 << 63)
@@ -194,45 +195,13 @@ class WordEncoder:
         self.kinds[list(self.TAIL.encode())] = self._TAIL
         rng = np.random.default_rng(1)
         self.of_byte = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        base = 0x9E3779B97F4A7C15
-        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.powers = self.unpowers = np.ones(0, np.uint64)
         self.most = most
         self._empty()
 
     def _empty(self) -> None:
-        self.keys, self.rows = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.table = HashRows()
         #: ids of piece r: pool[start[r]:start[r + 1]]
-        self.start, self.pool, self.n = np.zeros(1 << 15, np.int64), np.zeros(1 << 17, "<u4"), 0
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Rows of the pieces with these hashes, -1 for unknown ones."""
-        mask = np.int64(len(self.keys) - 1)
-        slot = (h & np.uint64(mask)).astype(np.int64)
-        got = self.keys[slot]
-        out = np.where(got == h, self.rows[slot], -1)
-        left = np.flatnonzero((got != h) & (got != 0))
-        while len(left):
-            slot[left] = (slot[left] + 1) & mask
-            got = self.keys[slot[left]]
-            same = got == h[left]
-            out[left[same]] = self.rows[slot[left[same]]]
-            left = left[~same & (got != 0)]
-        return out
-
-    def _put(self, h: np.ndarray, rows: np.ndarray) -> None:
-        """Enters distinct new hashes."""
-        mask = np.int64(len(self.keys) - 1)
-        slot = (h & np.uint64(mask)).astype(np.int64)
-        left = np.arange(len(h))
-        while len(left):
-            at = slot[left]
-            free = left[self.keys[at] == 0]
-            self.keys[slot[free]] = h[free]  # of several in one slot the last stays
-            won = free[self.keys[slot[free]] == h[free]]
-            self.rows[slot[won]] = rows[won]
-            left = left[self.keys[slot[left]] != h[left]]
-            slot[left] = (slot[left] + 1) & mask
+        self.start, self.pool = np.zeros(1 << 15, np.int64), np.zeros(1 << 17, "<u4")
 
     def _ids(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of new pieces, by the library."""
@@ -253,27 +222,18 @@ class WordEncoder:
         return out
 
     def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        if self.n + len(h) > self.most and self.n:
+        n = self.table.n
+        if n + len(h) > self.most and n:
             raise OverflowError
         ids = self._ids(pieces)
-        ends = self.start[self.n] + np.cumsum([len(x) for x in ids])
-        while self.n + len(h) + 1 > len(self.start):
+        ends = self.start[n] + np.cumsum([len(x) for x in ids])
+        while n + len(h) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         while ends[-1] > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.start[self.n] : ends[-1]] = np.concatenate(ids)
-        self.start[self.n + 1 : self.n + 1 + len(h)] = ends
-        rows = np.arange(self.n, self.n + len(h), dtype=np.int32)
-        self.n += len(h)
-        if 2 * self.n > len(self.keys):
-            old, old_rows = self.keys, self.rows
-            size = len(self.keys)
-            while 2 * self.n > size:
-                size *= 2
-            self.keys, self.rows = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-            held = np.flatnonzero(old)
-            self._put(old[held], old_rows[held])
-        self._put(h, rows)
+        self.pool[self.start[n] : ends[-1]] = np.concatenate(ids)
+        self.start[n + 1 : n + 1 + len(h)] = ends
+        self.table.add(h)
 
     def _is_far(self, text: str) -> bool:
         try:  # one byte a character: only these can be wrong
@@ -299,28 +259,13 @@ class WordEncoder:
         words = kind[at] != self._SPACE
         return at[words], ends[words]
 
-    def _hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        while len(self.powers) < len(raw):
-            n = max(1 << 16, 1 << (len(raw) - 1).bit_length())
-            ones = np.full(n, self.base, np.uint64)
-            ones[0] = 1
-            self.powers = np.multiply.accumulate(ones)
-            ones[1:] = self.inverse
-            self.unpowers = np.multiply.accumulate(ones)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.of_byte[raw] * self.powers[: len(raw)], out=sums[1:])
-        h = (sums[end] - sums[start]) * self.unpowers[start]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        return np.where(h == 0, np.uint64(1), h)
-
     def _near(self, texts: list[bytes]) -> list[bytes | None]:
         """Ids of texts by their pieces; None for texts with a piece that is too long."""
         buffer = b"\n".join([*texts, b""])
         raw = np.frombuffer(buffer, np.uint8)
         start, end = self._pieces(raw) if len(raw) else (np.empty(0, np.int64),) * 2
-        h = self._hashes(raw, start, end)
-        rows = self._find(h)
+        h = piece_hashes(self.of_byte[raw], start, end)
+        rows = self.table.find(h)
         new = np.flatnonzero(rows < 0)
         if len(new):
             unknown, first = np.unique(h[new], return_index=True)
@@ -330,7 +275,7 @@ class WordEncoder:
             except OverflowError:
                 self._empty()
                 return self._near(texts)
-            rows[new] = self._find(h[new])
+            rows[new] = self.table.find(h[new])
         begin = self.start[rows]
         counts = self.start[rows + 1] - begin
         upto = np.concatenate([[0], np.cumsum(counts)])

@@ -1,11 +1,12 @@
 """Language of each text, and of the spans of mixed texts.
 
-Method: words are runs of letters; a word's script (fixed code point ranges) narrows the candidates to the languages that training
+Method: words are runs of letters (Unicode category L); a word's script (fixed code point ranges) narrows the candidates to the languages that training
 texts write in it; each candidate gets a score from hashed character n-grams and the whole word; a Viterbi pass over a text's
 words, with a penalty for each change of language, labels spans. The text's language is that of most words.
 
-A text needs no full pass when, against its best single language, no other language gains more than one penalty over any run of
-words: k other spans then gain at most k penalties and cost at least as much. That test is a running minimum over sums.
+A text needs no full pass when, against its best single language, no other language gains more than half a penalty over any run of
+words: k other spans then gain at most k / 2 penalties and cost at least k - 1, and one alone can't beat the best total. That test is a running
+minimum over sums; the other texts of a batch take the Viterbi steps together.
 
 Model: counts from about ``sample_docs`` labelled rows a language, chosen by a hash of doc_id; 2**16 buckets a language at most
 come to the driver. Defined results: null text, or text without a letter, is ``und`` with score 0; without training rows all is
@@ -15,15 +16,17 @@ repeated rows are scored each; extra columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._hashing import HashRows, mix, piece_hashes
 from .quality import held_out
 
 #: Unicode block ranges of scripts.
@@ -44,10 +47,45 @@ SCRIPTS = {
     "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
-WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 
 
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter (Unicode category L), and a random odd number."""
+    letter = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+    return letter, mix(np.arange(0x110000, dtype=np.uint64)) | np.uint64(1)
+
+
+def find_words(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined text, starts, ends, words before each text and in all): the runs of letters of the lower-cased texts."""
+    low = [t.lower() if t else "" for t in texts]
+    joined = "\n".join([*low, ""])
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = np.concatenate([[False], _letters()[0][code], [False]])
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    start, end = edge[0::2], edge[1::2]
+    return joined, start, end, np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in low)]))
+
+
+def _words(text: str | None) -> list[str]:
+    joined, start, end, _ = find_words([text])
+    return [joined[a:z] for a, z in zip(start.tolist(), end.tolist())]
+
+
+def runs(texts: list[str | None], characters: int = 1 << 18) -> Iterator[list[str | None]]:
+    """The texts in runs of about so many characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size > characters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def script(word: str) -> str:
     c = ord(word[0])
     return next((name for name, ranges in SCRIPTS.items() for a, z in ranges if a <= c <= z), "other")
@@ -76,9 +114,43 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # [BUCKETS, languages] log probabilities, centred over languages
     scripts: dict[str, np.ndarray]  # languages that have it
-    most: int = 300_000
-    index: dict[str, int] = field(default_factory=dict)
-    table: list[np.ndarray] = field(default_factory=list)
+    #: words whose scores a worker keeps; then it begins anew
+    most: int = 1_000_000
+
+    def __post_init__(self):
+        self._begin()
+
+    def _begin(self) -> None:
+        self.index, self.table = HashRows(), np.zeros((1 << 15, len(self.languages)), np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "table")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._begin()
+
+    def rows(self, joined: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Scores of the words joined[start[i]:end[i]]."""
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        h = piece_hashes(_letters()[1][code], start, end)
+        found = self.index.find(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            unknown, first = np.unique(h[new], return_index=True)
+            if self.index.n and self.index.n + len(unknown) > self.most:
+                self._begin()
+                return self.rows(joined, start, end)
+            first = new[first]
+            words = [joined[a:z] for a, z in zip(start[first].tolist(), end[first].tolist())]
+            while self.index.n + len(words) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                self.table[self.index.n + i : self.index.n + i + len(part)] = self.word_scores(part)
+            self.index.add(unknown)
+            found[new] = self.index.find(h[new])
+        return self.table[found]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         bucket, owner = grams(words)
@@ -117,18 +189,63 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def label(s: np.ndarray, penalty: float) -> np.ndarray:
-    """As viterbi(); a text that stays in one language is told by sums alone."""
+def viterbi_many(texts: list[np.ndarray], penalty: float, cells: int = 1 << 18) -> list[np.ndarray]:
+    """As viterbi() of each; texts of like lengths take their steps together."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    while order:
+        longest, k = texts[order[0]].shape
+        group, order = order[: max(1, cells // (longest * k))], order[max(1, cells // (longest * k)) :]
+        lengths = np.array([len(texts[i]) for i in group])
+        s = np.zeros((longest, len(group), k))
+        for j, i in enumerate(group):
+            s[: lengths[j], j] = texts[i]
+        back = np.empty((longest, len(group), k), np.int16)
+        best, own = s[0].copy(), np.arange(k)
+        alive = np.searchsorted(-lengths, -np.arange(longest), "left")  # texts with more words than t, which come first
+        for t in range(1, longest):
+            m = alive[t]
+            b = best[:m]
+            top = b.argmax(axis=1)[:, None]
+            change = np.take_along_axis(b, top, 1) - penalty
+            stay = b >= change
+            back[t, :m] = np.where(stay, own, top)
+            best[:m] = np.where(stay, b, change) + s[t, :m]
+        path = np.empty((longest, len(group)), np.int64)
+        now = best.argmax(axis=1)
+        for t in range(longest - 1, -1, -1):
+            m = alive[t]
+            path[t, :m] = now[:m]
+            if t:
+                now[:m] = back[t, np.arange(m), now[:m]]
+        for j, i in enumerate(group):
+            out[i] = path[: lengths[j], j]
+    return out
+
+
+def single(s: np.ndarray, penalty: float) -> int | None:
+    """The language of all words where sums alone show that no change pays."""
     totals = s.sum(axis=0, dtype=np.float64)
     best = int(totals.argmax())
-    if s.shape[1] == 1:
-        return np.zeros(len(s), np.int64)
-    gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
-    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    low = np.concatenate([np.zeros((1, s.shape[1])), low[:-1]])
-    if (gain - low).max() <= penalty:
-        return np.full(len(s), best, np.int64)
-    return viterbi(s, penalty)
+    gain = np.zeros((len(s) + 1, s.shape[1]))
+    np.cumsum(s - s[:, best : best + 1], axis=0, out=gain[1:])
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
+        return best
+    return None
+
+
+def labels(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Best labels of each text's words."""
+    told = [single(s, penalty) for s in texts]
+    rest = [i for i, x in enumerate(told) if x is None]
+    out = [None if x is None else np.full(len(s), x, np.int64) for s, x in zip(texts, told)]
+    for i, path in zip(rest, viterbi_many([texts[i] for i in rest], penalty)):
+        out[i] = path
+    return out
+
+
+def label(s: np.ndarray, penalty: float) -> np.ndarray:
+    return labels([s], penalty)[0]
 
 
 def train(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -146,7 +263,7 @@ def train(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text
         kinds: set[tuple[str, str]] = set()
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = WORDS.findall((text or "").lower())
+                words = _words(text)
                 if words:
                     bucket, _ = grams(words)
                     own.setdefault(lang, np.zeros(BUCKETS, np.int64))
@@ -173,25 +290,19 @@ def train(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text
 
 def predict_texts(model: Model, texts: list[str | None], penalty: float) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans) of each text; a span is (first word, end word, language)."""
-    split = [WORDS.findall(t.lower()) if t else [] for t in texts]
-    if len(model.index) > model.most:
-        model.index.clear()
-        model.table.clear()
-    new = list(set().union(*split).difference(model.index))
-    if new and model.languages:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            model.index.update(zip(part, range(len(model.index), len(model.index) + len(part))))
-            model.table.append(model.word_scores(part))
-        model.table[:] = [np.concatenate(model.table)]
-    get = model.index.__getitem__
-    for words in split:
-        if not words or not model.languages:
+    if not model.languages:
+        yield from (("und", 0.0, []) for _ in texts)
+        return
+    joined, start, end, upto = find_words(texts)
+    scores = model.rows(joined, start, end)
+    own = [scores[a:z] for a, z in zip(upto.tolist(), upto[1:].tolist())]
+    paths = iter(labels([s for s in own if len(s)], penalty))
+    for s in own:
+        if not len(s):
             yield "und", 0.0, []
             continue
-        s = model.table[0][np.fromiter(map(get, words), np.int64, len(words))]
-        path = label(s, penalty)
-        share = np.bincount(path, minlength=len(model.languages)) / len(words)
+        path = next(paths)
+        share = np.bincount(path, minlength=len(model.languages)) / len(s)
         best = int(share.argmax())
         totals = s.sum(axis=0, dtype=np.float64)
         rival = np.delete(totals, best).max() if len(totals) > 1 else totals[best] - 50
@@ -207,9 +318,11 @@ def predict(docs: DataFrame, model: Model, penalty: float = 20.0, id_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                lang, score, spans = zip(*predict_texts(shared.value, part.column(2).to_pylist(), penalty))
+            at = 0
+            for texts in runs(b.column(2).to_pylist()):
+                part = b.slice(at, len(texts))
+                at += len(texts)
+                lang, score, spans = zip(*predict_texts(shared.value, texts, penalty))
                 text = [",".join(f"{a}-{z}:{x}" for a, z, x in s) for s in spans]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(text, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 

@@ -1,4 +1,7 @@
 import itertools
+import re
+import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -69,6 +72,59 @@ def test_viterbi_against_all_paths():
         assert value(s, language.label(s, penalty), penalty) == pytest.approx(want)
 
 
+def test_many_paths_equal_single_ones():
+    rng = np.random.default_rng(5)
+    texts = [rng.normal(0, 3, size=(n, 3)) for n in [1, 1, 2, 5, 40, 40, 300, 7]]
+    for cells in (1, 200, 1 << 18):
+        for s, path in zip(texts, language.viterbi_many(texts, 6.0, cells)):
+            assert (path == language.viterbi(s, 6.0)).all()
+
+
+def test_a_middling_language_takes_no_text_of_two_others():
+    s = np.array([[3, -8, 0]] * 6 + [[-8, 3, 0]] * 6, float)
+    assert language.label(s, 20.0).tolist() == [0] * 6 + [1] * 6
+
+
+def brute_words(text):
+    out, now = [], ""
+    for c in (text or "").lower():
+        if unicodedata.category(c)[0] == "L":
+            now += c
+        elif now:
+            out.append(now)
+            now = ""
+    return out + [now] * bool(now)
+
+
+def test_words_are_runs_of_letters():
+    texts = [None, "", "½ ² Ⅷ ①", "a1b_c d-é 日本 ½x", "İx ǅ", "\ud800 z"]
+    joined, start, end, upto = language.find_words(texts)
+    got = [[joined[a:z] for a, z in zip(start[i:j].tolist(), end[i:j].tolist())] for i, j in zip(upto, upto[1:])]
+    assert got == [brute_words(t) for t in texts]
+
+
+def test_language_query_against_brute_force(spark):
+    """op5_language's rows, worked out again text by text: words by category, scores a word at a time, Viterbi without shortcuts."""
+    from lumenrel.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs)
+    got = {r["doc_id"]: r for r in queries.op5_language(spark, "/root/testdata/sf0.001").collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[:80]:
+        words = brute_words(r["text"])
+        if not words:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        s = np.concatenate([model.word_scores([w]) for w in words])
+        path = language.viterbi(s, 20.0)
+        share = np.bincount(path, minlength=len(model.languages)) / len(words)
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[int(share.argmax())]
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert 0 <= got[r["doc_id"]]["score"] <= share.max() + 1e-6
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = language.predict(docs, language.train(docs)).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
@@ -80,9 +136,9 @@ def test_language_spans_and_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.train(docs)
     sample = {r["lang"]: r["text"] for r in docs.filter("length(text) > 900").dropDuplicates(["lang"]).collect()}
-    cut = {k: " ".join(language.WORDS.findall(v)[:80]) for k, v in sample.items()}
+    cut = {k: " ".join(re.findall(r"[^\W\d_]+", v)[:80]) for k, v in sample.items()}
     mixed = cut["en"] + " " + cut["de"]
-    rows = [(1, None), (2, ""), (3, "12 !?"), (4, mixed), (4, mixed), (5, "日本語"), (None, cut["fr"]), (6, cut["en"] * 500)]
+    rows = [(1, None), (2, ""), (3, "12 !? ½ ² Ⅷ ①"), (4, mixed), (4, mixed), (5, "日本語"), (None, cut["fr"]), (6, cut["en"] * 500)]
     test = spark.createDataFrame([(d, t, "es", 0) for d, t in rows], "doc_id long, text string, lang string, score int")
     got = language.predict(test, model).collect()
     assert [(r["lang_pred"], r["score"]) for r in got[:3]] == [("und", 0.0)] * 3
