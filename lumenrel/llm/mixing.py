@@ -6,12 +6,14 @@ blocks: all of them once or twice, and the first k again; the block at the bound
 few documents are left, of which a first fit in hash order fills the rest of the target. A splitting tree then
 deals the quotas to the output shards: each node draws its left half's share of every source from the multivariate
 hypergeometric distribution, down to one shard, which makes each shard's block quota of every source exact; shards take
-disjoint runs of each source's permuted blocks, and rows are shuffled within their shard by a hash.
+disjoint runs of each source's permuted blocks, and rows are shuffled within their shard by a hash. The shards of a document's copies, and its
+place among them, are part of the plan: ``mix`` returns them and ``mixed_documents`` writes by them. There is a shard for each
+``shard_words`` words of the targets, ``most_shards`` at most.
 
 Targets: sources by code point (null last) weigh ``weights``, repeating; they share ``budget`` times all words; none takes over
 ``cap`` times its size, and what it can't take is shared again by weight.
 
-The driver sees one row a source and one a boundary block's bins, never documents. Defined results: null text has size 0;
+The driver sees one row a source (over ``most_sources`` raise) and one a source for its boundary block, never documents. Defined results: null text has size 0;
 equal (doc_id, source, text) rows are taken or left together; rows of size 0 take 0 words; a source without words has target
 0; an empty table gives an empty result; extra columns are ignored by ``mix`` and kept by ``mixed_documents``.
 """
@@ -20,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, word_count
+from ._common import materialise, quoted, unused, word_count
 
 HASH_BITS = 40
 
@@ -60,22 +62,26 @@ def splitting_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) ->
 
 
 def mix(
-    docs: DataFrame, weights=(5, 2, 1), budget=1.5, cap=2.0, block_words=1 << 16, most_blocks=4096, few=20_000, shards=64, seed=7, id_col="doc_id", source_col="source", text_col="text"
-) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken, copies, text_hash, source, and shards (one a copy)."""
+    docs: DataFrame, weights=(5, 2, 1), budget=1.5, cap=2.0, block_words=1 << 16, most_blocks=4096, few=20_000, shards=None, seed=7, id_col="doc_id", source_col="source", text_col="text",
+    shard_words=1 << 20, most_shards=1 << 14, most_sources=200_000,
+) -> DataFrame:
+    """A row per document: doc_id, text_hash (128 bits), source, size, source_size, target, copies, taken, block, shards (one a copy)."""
     spark = docs.sparkSession
+    text = quoted(text_col).cast("string")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0"))).alias("text_hash"),
-        word_count(text_col).alias("size"),
+        quoted(id_col).cast("long").alias("doc_id"),
+        quoted(source_col).cast("string").alias("source"),
+        _text_hash(text).alias("text_hash"),
+        word_count(text).alias("size"),
     )
     # identical rows are one unit
     units = rows.groupBy("doc_id", "source", "text_hash").agg(F.first("size").alias("size"), F.count("*").alias("rows"))
     units = units.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 64 - HASH_BITS))
     units = materialise(units, "mix-units")
 
-    found = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words")).collect()
+    found = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words")).limit(most_sources + 1).collect()
+    if len(found) > most_sources:
+        raise ValueError(f"over {most_sources} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["words"]) for r in found]
     aims = targets(sizes, weights, budget, cap)
@@ -97,22 +103,31 @@ def mix(
     edges = {r["k"]: (r["edge"], r["rest"] - r["before"]) for r in edge.join(table.select("k", "rest"), "k").collect()}
     extra = [edges[k][0] if k in edges else blocks[k] for k in range(len(found))]  # blocks taken once more
 
+    if shards is None:
+        # the deal is held as shards x sources on the driver: 400 MB at most
+        shards = max(1, min(most_shards, 50_000_000 // max(1, len(found)), int(sum(aims)) // shard_words))
     quotas = np.array([whole[k] * blocks[k] + extra[k] + (k in edges) for k in range(len(found))], np.int64)
     dealt = splitting_tree(quotas, shards, np.random.default_rng(seed)) if len(found) else np.zeros((shards, 0), np.int64)
-    bounds = np.cumsum(dealt, axis=0).tolist()
-    last = spark.createDataFrame([(k, extra[k], [int(bounds[j][k]) for j in range(shards)]) for k in range(len(found))], "k int, extra int, bounds array<long>")
+    # a source's shards that have blocks: their number, and where their runs end
+    runs = [(np.flatnonzero(dealt[:, k]), np.cumsum(dealt[:, k])) for k in range(len(found))]
+    last = [(k, extra[k], own.tolist(), upto[own].tolist()) for k, (own, upto) in enumerate(runs)]
+    last = spark.createDataFrame(last, "k int, extra int, own array<int>, bounds array<long>")
 
     chosen = _fill(placed, edges, seed, few)
     if chosen is not None:
-        placed = placed.join(materialise(chosen, "mix-edge"), ["doc_id", "k", "text_hash"], "left")
+        # null-safe: rows without doc_id take part like others
+        chosen = materialise(chosen, "mix-edge").select(F.col("doc_id").alias("edge_id"), F.col("k").alias("edge_k"), F.col("text_hash").alias("edge_hash"), "again")
+        same = placed["doc_id"].eqNullSafe(chosen["edge_id"]) & (placed["k"] == chosen["edge_k"]) & (placed["text_hash"] == chosen["edge_hash"])
+        placed = placed.join(chosen, same, "left").drop("edge_id", "edge_k", "edge_hash")
     else:
         placed = placed.withColumn("again", F.lit(None).cast("boolean"))
     once_more = F.when(F.col("block") < F.col("extra"), 1).otherwise(F.coalesce(F.col("again").cast("int"), F.lit(0)))
     placed = placed.join(last, "k").withColumn("copies", F.col("whole") + once_more)
     out = placed.select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "copies", "rows",
+        "doc_id", "text_hash", "source", "size", "source_size", "target", "copies", "rows", "block",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        F.expr("transform(filter(array(0, 1, 2, 3), c -> c < copies), c -> size(filter(bounds, b -> b <= c * blocks + block)))").alias("shards"),
+        # copy c of block b is the source's block c * blocks + b in the deal; the c-th time round the blocks that are taken once more come last
+        F.expr("transform(filter(array(0, 1, 2, 3), c -> c < copies), c -> element_at(own, 1 + size(filter(bounds, b -> b <= c * blocks + block))))").alias("shards"),
     )
     return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("__i", "rows")
 
@@ -152,16 +167,25 @@ def _fill(placed: DataFrame, edges: dict, seed: int, few: int) -> DataFrame | No
             take[next(i for i, w in enumerate(words) if w == best and not take[i])] = True
         return pdf.loc[take, ["doc_id", "k", "text_hash"]]
 
-    end = rows.groupBy("k").applyInPandas(first_fit, "doc_id long, k int, text_hash long")
+    end = rows.groupBy("k").applyInPandas(first_fit, "doc_id long, k int, text_hash binary")
     return (end if taken is None else taken.unionByName(end)).withColumn("again", F.lit(True))
 
 
+def _text_hash(text: Column) -> Column:
+    """128 bits; null has its own."""
+    return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("\0")), "UTF-8")))
+
+
 def mixed_documents(docs: DataFrame, id_col="doc_id", source_col="source", text_col="text", seed=7, **parameters) -> DataFrame:
     """The mix itself: rows of docs, repeated as often as they are taken, by shard and shuffled within it."""
     plan = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **parameters)
-    plan = materialise(plan.filter("copies > 0").dropDuplicates(["doc_id", "text_hash", "source"]).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("source").alias("__source"), F.col("shards").alias("__shards")), "mix-plan")
-    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0"))))
-    same = hashed[id_col].eqNullSafe(plan["__id"]) & (hashed["__hash"] == plan["__text"]) & hashed[source_col].eqNullSafe(plan["__source"])
-    rows = hashed.join(plan, same).withColumn("__shard", F.explode("__shards"))
-    return rows.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed + 2), "__id", "__hash", "__shard")).select(*docs.columns)
+    name_id, name_text, name_source, name_shards, name_hash, name_shard, name_order = unused(docs, "id", "text", "source", "shards", "hash", "shard", "order")
+    plan = plan.filter("copies > 0").dropDuplicates(["doc_id", "text_hash", "source"])
+    plan = materialise(plan.select(F.col("doc_id").alias(name_id), F.col("text_hash").alias(name_text), F.col("source").alias(name_source), F.col("shards").alias(name_shards)), "mix-plan")
+    hashed = docs.withColumn(name_hash, _text_hash(quoted(text_col).cast("string")))
+    same = quoted(id_col).cast("long").eqNullSafe(F.col(name_id)) & (F.col(name_hash) == F.col(name_text)) & quoted(source_col).cast("string").eqNullSafe(F.col(name_source))
+    rows = hashed.join(plan, same).withColumn(name_shard, F.explode(name_shards))
+    rows = rows.withColumn(name_order, F.xxhash64(F.lit(seed + 2), name_id, name_hash, name_shard))
+    # 16 parts of a shard's shuffled order, by its first bits: no shard has to fit in one task
+    rows = rows.repartition(quoted(name_shard), F.shiftrightunsigned(name_order, 60)).sortWithinPartitions(name_shard, name_order)
+    return rows.select(*(quoted(c) for c in docs.columns))

@@ -48,6 +48,43 @@ def test_targets_are_met(spark, words, few):
     assert sorted(map(str, got)) == sorted(map(str, run()))
 
 
+def test_blocks_are_dealt_by_the_tree(spark):
+    """Every copy's shard, worked out again from the blocks' words, the quotas and the tree."""
+    data = rows(600, seed=4)
+    got = mixing.mix(frame(spark, data), block_words=300, shards=7, seed=3).collect()
+    sources = sorted({r["source"] for r in got}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(r["size"] for r in got if r["source"] == s) for s in sources}
+    quotas, blocks = [], {}
+    for s, aim in zip(sources, mixing.targets([total[s] for s in sources])):
+        blocks[s] = max(1, -(-total[s] // 300))
+        whole, rest = divmod(round(aim), total[s]) if total[s] else (0, 0)
+        upto, extra = 0, blocks[s]
+        for b in range(blocks[s]):
+            upto += sum(r["size"] for r in got if r["source"] == s and r["block"] == b)
+            if upto > rest:
+                extra = b
+                break
+        quotas.append(whole * blocks[s] + extra + (extra < blocks[s]))
+    dealt = mixing.splitting_tree(np.array(quotas), 7, np.random.default_rng(3))
+    assert (dealt.sum(axis=0) == quotas).all() and np.ptp(dealt.sum(axis=1)) <= 3
+    owner = {s: np.repeat(np.arange(7), dealt[:, k]) for k, s in enumerate(sources)}
+    for r in got:
+        assert r["shards"] == [owner[r["source"]][c * blocks[r["source"]] + r["block"]] for c in range(r["copies"])]
+
+
+def test_clashing_names_and_rows_without_id(spark):
+    data = [(None, "one two three " * (i + 1), "s") for i in range(30)] + [(4, "w " * 50, "t")]
+    names = ["a.b", "__hash", "__shard", "__id", "copies", "rows"]
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in data], ["doc_id", "text", "source", *names])
+    mixed = mixing.mixed_documents(docs, block_words=20)
+    assert mixed.columns == docs.columns
+    plan = mixing.mix(docs, block_words=20).collect()
+    assert sum(r["taken"] for r in plan) == sum(len(r["text"].split()) for r in mixed.collect())
+    for source in "st":
+        aim = next(r["target"] for r in plan if r["source"] == source)
+        assert abs(sum(r["taken"] for r in plan if r["source"] == source) - aim) <= 50
+
+
 def test_water_filling():
     for sizes in ([], [0], [5], [1000, 1, 1], [0, 7, 0, 9], [3, 500, 20, 20, 1]):
         t = mixing.targets(sizes)
@@ -61,7 +98,7 @@ def test_splitting_tree_is_exact():
     quotas = np.array([40, 0, 7, 100, 1])
     dealt = mixing.splitting_tree(quotas, 6, np.random.default_rng(1))
     assert (dealt.sum(axis=0) == quotas).all() and (dealt >= 0).all()
-    assert dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 2
+    assert np.ptp(dealt.sum(axis=1)) <= 2
 
 
 def test_mixed_documents(spark):
