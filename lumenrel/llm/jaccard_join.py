@@ -30,80 +30,145 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, discard, join_groups, materialise, shuffles_end_with_query
+from ._common import components, discard, join_groups, materialise, quoted, shuffles_end_with_query, text_key, unused
+from ._hashing import mix, piece_hashes
 
 SKETCH_BITS, SMALL_BITS, BLOCK = 2048, 512, 1024
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: A random odd number for each byte.
+_OF_BYTE = np.random.default_rng(2).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of text that are worked on together, and words whose hashes are not by powers (longer ones could be made to collide).
+PIECE, LONG_WORD = 1 << 18, 512
 
 
-_WORDS: dict[bytes, int] = {}
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes, ends) of the words of a text whose last byte is white space."""
+    c = np.frombuffer(raw, np.uint8)
+    space = _IS_SPACE[c]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[0::2], edge[1::2]
+    h = piece_hashes(_OF_BYTE[c], start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return h, end
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the k-word shingles; A-Z lower-cased, words split at ASCII white space."""
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    if len(_WORDS) > 250_000:
-        _WORDS.clear()
-    for w in set().union(*split).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    get, out = _WORDS.__getitem__, []
-    for words in split:
-        h = np.fromiter(map(get, words), np.uint64, len(words))
-        if len(h) >= k:
-            s = np.zeros(len(h) - k + 1, np.uint64)
-            for j in range(k):
-                s += h[j : len(h) - k + 1 + j] * _ODD[j]
-            out.append(np.unique(_mix(s)))
-        elif len(h):
-            s = (h * _ODD[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h)) * _ODD[7]
-            out.append(_mix(np.array([s], np.uint64)))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
+def shingle_batches(texts: list[str | None], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(shingles, bounds) of runs of texts: sorted distinct 64-bit hashes of the k-word shingles; text i has shingles[bounds[i]:bounds[i + 1]].
 
-
-def signature(s: np.ndarray) -> bytes:
-    """128 bits of the set; its first 8 bytes name the set as a node."""
-    a = _mix(s + np.uint64(0x1234567)).sum(dtype=np.uint64)
-    b = _mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64) + np.uint64(len(s))
-    return np.array([a, b], "<u8").tobytes()
+    A-Z lower-cased, words split at ASCII white space.
+    """
+    held: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        held.append(t.encode("utf-8", "surrogatepass").lower() if t else b"")
+        size += len(held[-1])
+        if size > PIECE or i + 1 == len(texts):
+            yield _shingle(held, k)
+            held, size = [], 0
+
+
+def _shingle(raws: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    h, end = _word_hashes(b"\n".join([*raws, b""])) if raws else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    upto = np.concatenate([[0], np.searchsorted(end, np.cumsum([len(r) + 1 for r in raws]))])  # words before each text
+    words = np.diff(upto)
+    s = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    for j in range(k):
+        s += h[j : j + len(s)] * _ODD[j]
+    s = mix(s)
+    own = np.where(words >= k, words - k + 1, np.minimum(words, 1))
+    bounds = np.concatenate([[0], np.cumsum(own)])
+    out = np.empty(bounds[-1], np.uint64)
+    for i, (a, n, w) in enumerate(zip(upto.tolist(), own.tolist(), words.tolist())):
+        at = bounds[i]
+        if w >= k:
+            part = out[at : at + n]
+            part[:] = s[a : a + n]
+            part.sort()
+        elif w:
+            out[at] = mix((h[a : a + w] * _ODD[:w]).sum(keepdims=True) + np.full(1, w, np.uint64) * _ODD[7])[0]
+    if len(out):
+        first = np.ones(len(out), bool)
+        first[1:] = out[1:] != out[:-1]
+        first[bounds[:-1][own > 0]] = True
+        bounds = np.concatenate([[0], np.cumsum(first)])[bounds]
+        out = out[first]
+    return out, bounds
 
 
-def node_of(sig: bytes) -> int:
-    return int.from_bytes(sig[:8], "little", signed=True)
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """The set of each text."""
+    return [s[a:z] for s, bounds in shingle_batches(texts, k) for a, z in zip(bounds, bounds[1:])]
 
 
-def sketch(s: np.ndarray) -> bytes:
-    parity = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).tobytes()
+def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
+    return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+def signatures(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128 bits of each set [sets, 2]."""
+    a = _sums(mix(s + np.uint64(0x1234567)), bounds)
+    b = _sums(mix(s ^ np.uint64(0x5BD1E9955BD1E995)), bounds) + np.diff(bounds).astype(np.uint64)
+    return np.stack([a, b], axis=1)
 
 
-def in_order(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """The set in the global order, and how many of its shingles aren't frequent. frequent is sorted."""
-    if not len(frequent):
-        return s, len(s)
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    hot = frequent[at] == s
-    if not hot.any():
-        return s, len(s)
-    late = s[hot][np.argsort(rank[at[hot]], kind="stable")]
-    return np.concatenate([s[~hot], late]), int((~hot).sum())
+def sketches(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parities of the sets in SKETCH_BITS bins [sets, SKETCH_BITS // 8]."""
+    n = len(bounds) - 1
+    out = np.empty((n, SKETCH_BITS // 8), np.uint8)
+    for i in range(0, n, 64):
+        z = min(n, i + 64)
+        own = np.repeat(np.arange(z - i) * SKETCH_BITS, np.diff(bounds[i : z + 1]))
+        bins = (s[bounds[i] : bounds[z]] >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64) + own
+        parity = np.bincount(bins, minlength=(z - i) * SKETCH_BITS).astype(np.uint8) & 1
+        out[i:z] = np.packbits(parity.reshape(z - i, -1), axis=1)
+    return out
 
 
-def _array(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+class Order:
+    """The global order: shingles that are frequent in the sample come last, by rank."""
+
+    def __init__(self, frequent: np.ndarray, rank: np.ndarray):
+        self.frequent, self.rank = frequent, rank
+        self.maybe = np.zeros(1 << 22, bool)  # most shingles aren't frequent: told by a table that stays in the processor's cache
+        self.maybe[frequent >> np.uint64(42)] = True
+
+    def place(self, s: np.ndarray) -> np.ndarray:
+        """Rank of each shingle, -1 for those that aren't frequent."""
+        out = np.full(len(s), -1, np.int64)
+        at = np.flatnonzero(self.maybe[s >> np.uint64(42)])
+        if len(at):
+            i = np.minimum(np.searchsorted(self.frequent, s[at]), len(self.frequent) - 1)
+            out[at] = np.where(self.frequent[i] == s[at], self.rank[i], -1)
+        return out
+
+    def prefixes(self, s: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingles, bounds) of each set's first n - ceil(t n) + 1 in the order, and how many of a set aren't frequent."""
+        n = np.diff(bounds)
+        wanted = np.where(n > 0, n - -(-num * n // den) + 1, 0)
+        place = self.place(s)
+        plain = place < 0
+        before = np.concatenate([[0], np.cumsum(plain)])
+        rare = before[bounds[1:]] - before[bounds[:-1]]
+        own = np.repeat(np.arange(len(n)), n)
+        chosen = plain & (before[:-1] - before[bounds[:-1]][own] < wanted[own])
+        for i in np.flatnonzero(rare < wanted).tolist():
+            hot = bounds[i] + np.flatnonzero(~plain[bounds[i] : bounds[i + 1]])
+            chosen[hot[np.argsort(place[hot], kind="stable")[: wanted[i] - rare[i]]]] = True
+        return s[chosen], np.concatenate([[0], np.cumsum(chosen)])[bounds], rare
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    width = rows.shape[1] * rows.itemsize
+    offsets = pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def _frequent(docs: DataFrame, k: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +181,8 @@ def _frequent(docs: DataFrame, k: int, sample_docs: int, most: int) -> tuple[np.
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                sets = shingle_sets(b.column(1).slice(i, 500).to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["s"])
+            for s, _ in shingle_batches(b.column(1).to_pylist(), k):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
 
     counted = sample.select("doc_id", "text").mapInArrow(emit, "s long").groupBy("s").count().filter("count >= 3")
     with shuffles_end_with_query(docs.sparkSession):
@@ -131,29 +195,26 @@ def _frequent(docs: DataFrame, k: int, sample_docs: int, most: int) -> tuple[np.
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, sample_docs: int, most_frequent: int) -> DataFrame:
-    """A row per document: doc_id, n, sig, node, rare, sketch, small, keys (its boundary cells)."""
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(_frequent(docs, k, sample_docs, most_frequent))
+    """docs: (doc_id, text, key). A row per document: doc_id, key, n, sig, rare, sketch, small, keys (its boundary cells)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, sample_docs, most_frequent))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = order.value
+        order = Order(*shared.value)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                ids, sets = b.column(0).slice(i, 500), shingle_sets(b.column(1).slice(i, 500).to_pylist(), k)
-                sigs, rare, sketches, keys = [], [], [], []
-                for s in sets:
-                    ordered, n_rare = in_order(s, frequent, rank)
-                    sigs.append(signature(s))
-                    rare.append(n_rare)
-                    sketches.append(sketch(s))
-                    keys.append(ordered[: prefix_length(len(s), num, den)] if len(s) else s)
-                small = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, SMALL_BITS // 8)).tobytes() for x in sketches]
+            at = 0
+            for s, bounds in shingle_batches(b.column(1).to_pylist(), k):
+                m = len(bounds) - 1
+                sig, wide = signatures(s, bounds), sketches(s, bounds)
+                small = np.bitwise_xor.reduce(wide.reshape(m, -1, SMALL_BITS // 8), axis=1)
+                keys, key_bounds, rare = order.prefixes(s, bounds, num, den)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array([node_of(x) for x in sigs], pa.int64()), pa.array(rare, pa.int64()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary()), _array(keys)],
-                    names=["doc_id", "n", "sig", "node", "rare", "sketch", "small", "keys"],
-                )
+                    [b.column(0).slice(at, m), b.column(2).slice(at, m), pa.array(np.diff(bounds)), _binary(sig.astype("<u8")), pa.array(rare), _binary(wide), _binary(small),
+                     pa.ListArray.from_arrays(pa.array(key_bounds.astype(np.int32)), pa.array(keys.view(np.int64)))],
+                    names=["doc_id", "key", "n", "sig", "rare", "sketch", "small", "keys"],
+                )
+                at += m
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, sig binary, node long, rare long, sketch binary, small binary, keys array<long>")
+    return docs.select("doc_id", "text", "key").mapInArrow(work, "doc_id long, key binary, n long, sig binary, rare long, sketch binary, small binary, keys array<long>")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -177,17 +238,20 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) at the threshold or over, by exact distances of whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select("doc_id", "text").join(reps.select("node", F.col("rep").alias("doc_id")).join(wanted, "node"), "doc_id")
+    texts = docs.select("doc_id", "text").join(reps.select("node", "sig", F.col("rep").alias("doc_id")).join(wanted, "node"), "doc_id")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                nodes = b.column(0).slice(i, 500).to_pylist()
-                sets = shingle_sets(b.column(1).slice(i, 500).to_pylist(), k)
-                own = [j for j, s in enumerate(sets) if node_of(signature(s)) == nodes[j]]  # another row may have this doc_id
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[j] for j in own], pa.int64()), pa.array([sets[j].tobytes() for j in own], pa.binary())], names=["node", "s"])
-
-    loaded = materialise(texts.select("node", "text").mapInArrow(load, "node long, s binary"), "sets")
+            at = 0
+            for s, bounds in shingle_batches(b.column(2).to_pylist(), k):
+                nodes = b.column(0).slice(at, len(bounds) - 1)
+                sigs = np.frombuffer(b"".join(b.column(1).slice(at, len(nodes)).to_pylist()), "<u8").reshape(-1, 2)
+                at += len(nodes)
+                own = (signatures(s, bounds) == sigs).all(axis=1)  # another row may have this doc_id
+                sets = [s[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(own)]
+                yield pa.RecordBatch.from_arrays([nodes.filter(pa.array(own)), pa.array(sets, pa.binary())], names=["node", "s"])
+
+    loaded = materialise(texts.select("node", "sig", "text").mapInArrow(load, "node long, s binary"), "sets")
     sets = loaded.dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
@@ -242,10 +306,10 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
             small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint64).reshape(table.num_rows, -1)
             key = table.column("key").to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]) | (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-            out = [x for a, z in zip([0, *cut], [*cut, len(key)]) if z - a > 1 for x in one([c[a:z] for c in cols], small[a:z])]
-            if out:
-                pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            for a, z in zip([0, *cut], [*cut, len(key)]):
+                if z - a > 1:
+                    for pairs in one([c[a:z] for c in cols], small[a:z]):
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
         def cell(b: pa.RecordBatch, r: int) -> tuple:
             return tuple(b.column(c)[r].as_py() for c in ("key", "i", "j"))
@@ -270,65 +334,80 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
-def link_components(
-    docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, most_frequent: int = 500_000
-) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: int, most_frequent: int) -> DataFrame:
+    """docs: (doc_id, text, key). A row each: doc_id, key, n, component (null for sets without links or copies), component_id."""
     num, den = similarity
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = materialise(describe(docs, k, num, den, sample_docs, most_frequent), "shingled")
-    rows = materialise(every.select("doc_id", "n", "sig", "node"), "rows")
-    full = every.filter("n > 0")
+    rows = every.select("doc_id", "key", "n", "sig")
+    full = every.filter("n > 0").drop("key")
     copies = materialise(full.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "equal-sets")
     named = join_groups(full, copies, "sig", "copies")
-    nodes = named.filter("copies is null or rep <=> doc_id").withColumn("rep", F.coalesce("rep", "doc_id"))
-    stored = nodes = materialise(nodes.select("node", "rep", "n", "rare", "sketch", "small", "keys", "copies"), "nodes")
-    discard(every)
+    named = named.filter("copies is null or rep <=> doc_id").withColumn("rep", F.coalesce("rep", "doc_id"))
     # Equal (doc_id, text) rows would stand for a node twice.
-    twice = nodes.filter("copies > 1").dropDuplicates(["node"])
-    nodes = nodes.filter("copies is null").unionByName(twice).drop("copies")
+    twice = named.filter("copies > 1").dropDuplicates(["sig"])
+    nodes = named.filter("copies is null").unionByName(twice)
+    # A node's number is made as the table is written, so it is fixed and its own.
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "rep", "n", "rare", "sketch", "small", "keys"), "nodes")
 
     cells = nodes.select(F.explode("keys").alias("key"), "node", "n", F.least("rare", F.lit((1 << 22) - 1)).alias("rare"))
-    code = F.shiftleft(F.col("rare"), 40).bitwiseOR(F.shiftrightunsigned(F.col("node"), 24))
-    shared = cells.groupBy("key").agg(F.min(code).alias("first"), F.count("*").alias("members")).filter("members > 1")
-    meets = materialise(cells.join(shared, "key").select("key", "node", "n", "members", (code == F.col("first")).alias("central")), "cells")
-    pivots = meets.filter("central").groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"))
+    code = F.shiftleft(F.col("rare"), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node"), 24))
+    cells = cells.select("key", "node", "n", code.alias("code"))
+    shared = materialise(cells.groupBy("key").agg(F.min("code").alias("first"), F.count("*").alias("members")).filter("members > 1"), "cell-keys")
+    meets = materialise(join_groups(cells, shared, "key", "members", "inner").select("key", "node", "n", "members", (F.col("code") == F.col("first")).alias("central")), "cells")
+    pivots = materialise(meets.filter("central").groupBy("key").agg(F.first("members").alias("size"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn")), "pivots")
     fits = den * F.least("n", "pn") >= num * F.greatest("n", "pn")
-    star = meets.join(pivots, "key").filter("node <> pivot").filter(fits)
+    star = join_groups(meets, pivots, "key", "size", "inner").filter("node <> pivot").filter(fits)
     star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    reps = materialise(nodes.select("node", "rep"), "reps")
+    reps = nodes.select("node", "sig", "rep")
     links = _links(materialise(_near(star, nodes, num, den), "star"), docs, reps, k, num, den)
     comps = materialise(components(links), "components")
 
-    left = meets.filter("members > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    open_cells = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    left = left.join(open_cells, "key").select("key", "members", "node", "n", "comp").join(nodes.select("node", "small"), "node")
+    left = meets.filter("members > 2").join(comps, "node", "left").select("key", "members", "node", "n", F.coalesce("component", "node").alias("comp"))
+    left = materialise(left, "cells-left")
+    open_cells = left.groupBy("key").agg(F.first("members").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "size")
+    left = join_groups(left, materialise(open_cells, "open-cells"), "key", "size", "inner").drop("size").join(nodes.select("node", "small"), "node")
     rest = materialise(_near(_cells(left, num, den), nodes, num, den), "cross")
     discard(meets)
-    discard(stored)
     if rest.isEmpty():
         final = comps
     else:
         final = materialise(components(links.unionByName(_links(rest, docs, reps, k, num, den))), "components")
 
-    # Components have smallest doc_ids only after this: nodes are hashes.
+    # A component's name is its smallest node; its smallest doc_id comes with the texts that the nodes stand for.
     own = final.join(reps, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = final.join(own, "component").select("node", "component_id")
-    smallest = materialise(reps.join(of_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "node-components")
-    dup_sizes = copies.join(rows.select("sig", "node").dropDuplicates(["sig"]), "sig").select("node", "copies")
-    by_node = materialise(smallest.join(dup_sizes, "node", "left").select("node", "component_id", F.coalesce("copies", F.lit(1)).alias("copies")), "node-sizes")
-    out = join_groups(rows.filter("n > 0").select("doc_id", "n", "node"), by_node, "node", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    of_node = final.join(own, "component").select("node", "component", "component_id")
+    by_set = reps.join(of_node, "node", "left").select("sig", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
+    by_set = materialise(by_set.join(copies.select("sig", "copies"), "sig", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), "set-components")
+    out = join_groups(rows.filter("n > 0"), by_set, "sig", "copies").select("doc_id", "key", "n", "component", "component_id")
+    none = rows.filter("n = 0").select("doc_id", "key", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return out.unionByName(none)
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+def link_components(
+    docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, most_frequent: int = 500_000
+) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("key"))
+    return _linked(docs, k, similarity, sample_docs, most_frequent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, most_frequent: int = 500_000) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays; columns as they were.
 
-    Texts without words, and rows without doc_id, all stay.
+    Of several rows of a component with that doc_id the one with the smallest hash of the text stays, of equal rows any one.
+    Different texts with one doc_id stay unless each is a copy. Texts without words, and rows without doc_id, all stay.
     """
-    found = link_components(docs, **parameters)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep"), F.col("n_shingles").alias("__n")).distinct()
-    kept = docs.filter("doc_id is not null").join(keep.groupBy("__keep").agg(F.max("__n").alias("__n")), F.col("doc_id") == F.col("__keep"))
-    some = kept.filter("__n > 0").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return some.unionByName(kept.filter("__n = 0").select(*docs.columns)).unionByName(docs.filter("doc_id is null"))
+    plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    plain = plain.withColumn("key", text_key("text"))
+    found = _linked(plain, k, similarity, sample_docs, most_frequent).filter("n > 0 and doc_id is not null")
+    each = materialise(found.groupBy("doc_id", "key", "component", "component_id").agg(F.count("*").alias("rows")), "linked-rows")
+    first = each.groupBy("component").agg(F.count("*").alias("size"), F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("key"))).alias("first"))
+    each = join_groups(each, materialise(first, "linked-first"), "component", "size", "inner")
+    each = each.withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("first")))
+    name_id, name_key, name_stays, name_key2 = unused(docs, "id", "key", "stays", "key2")
+    marked = each.filter("not stays or rows > 1").select(F.col("doc_id").alias(name_id), F.col("key").alias(name_key), F.col("stays").alias(name_stays))
+    keyed = docs.withColumn(name_key2, text_key(quoted(text_col).cast("string")))
+    joined = keyed.join(materialise(marked, "marked"), (quoted(id_col).cast("long") == F.col(name_id)) & (F.col(name_key2) == F.col(name_key)), "left")
+    columns = [quoted(c) for c in docs.columns]
+    alone = joined.filter(F.col(name_stays).isNull()).select(*columns)
+    return alone.unionByName(joined.filter(F.col(name_stays)).dropDuplicates([name_id, name_key]).select(*columns))

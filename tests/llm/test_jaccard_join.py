@@ -71,6 +71,33 @@ def test_keep_one(spark):
     assert kept.filter("doc_id is null").count() == 1
 
 
+def test_keep_one_with_repeated_ids_and_odd_names(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, words), (5, other), (7, words + " more"), (7, other.upper()), (5, "third text of its own here"), (9, "third text of its own here"), (5, other), (4, None), (4, "")]
+    names = ["a.b", "__key", "__keep", "__n", "__id", "__stays", "component", "sig"]
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], ["doc_id", "text", *names])
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(5, words), (5, other), (5, "third text of its own here"), (4, None), (4, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_hot_cells_are_split(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 6, 9])):
+            words[rng.randrange(100)] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.link_components(docs, k=4, similarity=(85, 100))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 4, 85, 100)
+
+
 def test_long_text_and_empty_table(spark):
     long = " ".join(str(i) for i in range(30_000))
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x")], "doc_id long, text string")
@@ -79,6 +106,23 @@ def test_long_text_and_empty_table(spark):
     assert jaccard_join.keep_one(docs.limit(0)).collect() == []
 
 
+def test_shingle_sets_against_sets_of_words():
+    rng = random.Random(3)
+    vocabulary = ["a", "B", "b", "é", "É", "x" * 700, "x" * 701, "12", "İ"]
+    texts = [None, "", " \n", *(rng.choice(" \t\n ").join(rng.choice(vocabulary) for _ in range(rng.randrange(12))) for _ in range(300)), " a b ", "x" * 700 + " " + "x" * 701]
+    for k in (1, 4, 5):
+        sets = jaccard_join.shingle_sets(texts * 2, k)
+        assert len(sets) == 2 * len(texts) and all((a[1:] > a[:-1]).all() for a in sets)
+        hashes = {}
+        for text, found in zip(texts * 2, sets):
+            words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+            want = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
+            assert len(found) == len(want)
+            if len(want) == 1:
+                assert hashes.setdefault(next(iter(want)), found[0]) == found[0]
+        assert len(set(hashes.values())) == len(hashes)
+
+
 def test_sketch_never_exceeds_the_difference():
     import numpy as np
 
@@ -86,5 +130,5 @@ def test_sketch_never_exceeds_the_difference():
     for _ in range(50):
         a = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 20).astype(np.uint64)]))
-        apart = int(np.bitwise_count(np.frombuffer(jaccard_join.sketch(a), np.uint8) ^ np.frombuffer(jaccard_join.sketch(b), np.uint8)).sum())
-        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+        one, two = jaccard_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert int(np.bitwise_count(one ^ two).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
