@@ -108,11 +108,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     hot_share hot keys whatever the input is, which bounds the broadcast. Other keys shuffle, and none of their
     groups is large. ``groups`` should come from a materialised table since it is read up to four times.
     """
-    total, most = groups.agg(F.sum(size), F.max(size)).first()
-    limit = max(least, (total or 0) // hot_share)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(least, total // hot_share)
     extra = [c for c in groups.columns if c != key]
-    if (most or 0) <= limit:
-        return rows.join(groups, key, how).select(*rows.columns, *extra)
     hot = F.broadcast(groups.filter(F.col(size) > limit))
     cold = groups.filter(F.col(size) <= limit)
     done = rows.join(hot, key).select(*rows.columns, *extra)
@@ -120,6 +118,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     return done.unionByName(rest)
 
 
+class Tables:
+    """Tables of materialise() that belong together, to delete what nothing will read again."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def make(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(materialise(df, name))
+        return self.made[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            discard(t)
+            self.made = [x for x in self.made if x is not t]
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        self.drop(*(t for t in self.made if not any(t is x for x in tables)))
+
+
 def quoted(name: str) -> Column:
     """The column of this very name, dots and backquotes included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -141,8 +158,8 @@ def text_key(text: str | Column) -> Column:
     return F.unhex(F.md5(F.encode(blank(text), "UTF-8")))
 
 
-def components(nodes_edges: DataFrame, name: str = "cc") -> DataFrame:
-    """Connected components of edges (a long, b long): rows (node, component) for each node with an edge; component = smallest node.
+def components(nodes_edges: DataFrame, name: str = "cc") -> tuple[DataFrame, DataFrame]:
+    """(rows, table they are read from): connected components of edges (a long, b long): rows (node, component) for each node with an edge; component = smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each written to the shared folder.
     Edges never come to the driver; the loop ends when no edge changes.
@@ -169,11 +186,12 @@ def components(nodes_edges: DataFrame, name: str = "cc") -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
-        before, edges = edges, materialise(star(star(edges, True), False), name)
+        # two rounds a table: fewer files
+        before, edges = edges, materialise(star(star(star(star(edges, True), False), True), False), name)
         discard(before)
         now = mark(edges)
         if now == seen:
             break
         seen = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), edges

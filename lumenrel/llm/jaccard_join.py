@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, discard, join_groups, materialise, quoted, shuffles_end_with_query, text_key, unused
+from ._common import Tables, components, discard, join_groups, materialise, quoted, shuffles_end_with_query, text_key, unused
 from ._hashing import mix, piece_hashes
 
 SKETCH_BITS, SMALL_BITS, BLOCK = 2048, 512, 1024
@@ -334,50 +334,57 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
-def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: int, most_frequent: int) -> DataFrame:
-    """docs: (doc_id, text, key). A row each: doc_id, key, n, component (null for sets without links or copies), component_id."""
+def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: int, most_frequent: int, tables: Tables) -> DataFrame:
+    """docs: (doc_id, text, key). A row each: doc_id, key, n, component (null for empty sets), component_id. tables: gets the tables it is read from."""
     num, den = similarity
-    every = materialise(describe(docs, k, num, den, sample_docs, most_frequent), "shingled")
-    rows = every.select("doc_id", "key", "n", "sig")
+    every = tables.make(describe(docs, k, num, den, sample_docs, most_frequent), "shingled")
+    rows = tables.make(every.select("doc_id", "key", "n", "sig"), "rows")
     full = every.filter("n > 0").drop("key")
-    copies = materialise(full.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "equal-sets")
+    copies = tables.make(full.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "equal-sets")
     named = join_groups(full, copies, "sig", "copies")
     named = named.filter("copies is null or rep <=> doc_id").withColumn("rep", F.coalesce("rep", "doc_id"))
     # Equal (doc_id, text) rows would stand for a node twice.
     twice = named.filter("copies > 1").dropDuplicates(["sig"])
     nodes = named.filter("copies is null").unionByName(twice)
     # A node's number is made as the table is written, so it is fixed and its own.
-    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "rep", "n", "rare", "sketch", "small", "keys"), "nodes")
+    nodes = tables.make(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "rep", "n", "rare", "sketch", "small", "keys"), "nodes")
+    tables.drop(every)
 
     cells = nodes.select(F.explode("keys").alias("key"), "node", "n", F.least("rare", F.lit((1 << 22) - 1)).alias("rare"))
     code = F.shiftleft(F.col("rare"), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node"), 24))
     cells = cells.select("key", "node", "n", code.alias("code"))
-    shared = materialise(cells.groupBy("key").agg(F.min("code").alias("first"), F.count("*").alias("members")).filter("members > 1"), "cell-keys")
-    meets = materialise(join_groups(cells, shared, "key", "members", "inner").select("key", "node", "n", "members", (F.col("code") == F.col("first")).alias("central")), "cells")
-    pivots = materialise(meets.filter("central").groupBy("key").agg(F.first("members").alias("size"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn")), "pivots")
+    shared = tables.make(cells.groupBy("key").agg(F.min("code").alias("first"), F.count("*").alias("members")).filter("members > 1"), "cell-keys")
+    meets = tables.make(join_groups(cells, shared, "key", "members", "inner").select("key", "node", "n", "members", (F.col("code") == F.col("first")).alias("central")), "cells")
+    tables.drop(shared)
+    pivots = tables.make(meets.filter("central").groupBy("key").agg(F.first("members").alias("size"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn")), "pivots")
     fits = den * F.least("n", "pn") >= num * F.greatest("n", "pn")
     star = join_groups(meets, pivots, "key", "size", "inner").filter("node <> pivot").filter(fits)
     star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    reps = nodes.select("node", "sig", "rep")
-    links = _links(materialise(_near(star, nodes, num, den), "star"), docs, reps, k, num, den)
-    comps = materialise(components(links), "components")
+    reps = tables.make(nodes.select("node", "sig", "rep"), "reps")
+    links = _links(tables.make(_near(star, nodes, num, den), "star"), docs, reps, k, num, den)
+    tables.made.append(links)
+    comps, stored = components(links)
+    tables.made.append(stored)
 
     left = meets.filter("members > 2").join(comps, "node", "left").select("key", "members", "node", "n", F.coalesce("component", "node").alias("comp"))
-    left = materialise(left, "cells-left")
+    left = tables.make(left, "cells-left")
+    tables.drop(meets, pivots)
     open_cells = left.groupBy("key").agg(F.first("members").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "size")
-    left = join_groups(left, materialise(open_cells, "open-cells"), "key", "size", "inner").drop("size").join(nodes.select("node", "small"), "node")
-    rest = materialise(_near(_cells(left, num, den), nodes, num, den), "cross")
-    discard(meets)
-    if rest.isEmpty():
-        final = comps
-    else:
-        final = materialise(components(links.unionByName(_links(rest, docs, reps, k, num, den))), "components")
+    left = join_groups(left, tables.make(open_cells, "open-cells"), "key", "size", "inner").drop("size").join(nodes.select("node", "small"), "node")
+    rest = tables.make(_near(_cells(left, num, den), nodes, num, den), "cross")
+    tables.drop(nodes)
+    if not rest.isEmpty():
+        more = _links(rest, docs, reps, k, num, den)
+        tables.made.append(more)
+        comps, stored = components(links.unionByName(more))
+        tables.made.append(stored)
 
     # A component's name is its smallest node; its smallest doc_id comes with the texts that the nodes stand for.
-    own = final.join(reps, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = final.join(own, "component").select("node", "component", "component_id")
+    own = comps.join(reps, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_node = comps.join(own, "component").select("node", "component", "component_id")
     by_set = reps.join(of_node, "node", "left").select("sig", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
-    by_set = materialise(by_set.join(copies.select("sig", "copies"), "sig", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), "set-components")
+    by_set = tables.make(by_set.join(copies.select("sig", "copies"), "sig", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), "set-components")
+    tables.drop_but(rows, by_set)
     out = join_groups(rows.filter("n > 0"), by_set, "sig", "copies").select("doc_id", "key", "n", "component", "component_id")
     none = rows.filter("n = 0").select("doc_id", "key", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return out.unionByName(none)
@@ -388,10 +395,10 @@ def link_components(
 ) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("key"))
-    return _linked(docs, k, similarity, sample_docs, most_frequent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _linked(docs, k, similarity, sample_docs, most_frequent, Tables()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, most_frequent: int = 500_000) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, most_frequent: int = 500_000, most_broadcast: int = 500_000) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays; columns as they were.
 
     Of several rows of a component with that doc_id the one with the smallest hash of the text stays, of equal rows any one.
@@ -399,15 +406,20 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100
     """
     plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     plain = plain.withColumn("key", text_key("text"))
-    found = _linked(plain, k, similarity, sample_docs, most_frequent).filter("n > 0 and doc_id is not null")
-    each = materialise(found.groupBy("doc_id", "key", "component", "component_id").agg(F.count("*").alias("rows")), "linked-rows")
+    tables = Tables()
+    found = _linked(plain, k, similarity, sample_docs, most_frequent, tables).filter("n > 0 and doc_id is not null")
+    each = tables.make(found.groupBy("doc_id", "key", "component", "component_id").agg(F.count("*").alias("rows")), "linked-rows")
     first = each.groupBy("component").agg(F.count("*").alias("size"), F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("key"))).alias("first"))
-    each = join_groups(each, materialise(first, "linked-first"), "component", "size", "inner")
+    each = join_groups(each, tables.make(first, "linked-first"), "component", "size", "inner")
     each = each.withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("first")))
     name_id, name_key, name_stays, name_key2 = unused(docs, "id", "key", "stays", "key2")
     marked = each.filter("not stays or rows > 1").select(F.col("doc_id").alias(name_id), F.col("key").alias(name_key), F.col("stays").alias(name_stays))
+    marked = materialise(marked, "marked")
+    tables.drop_but()
+    # rows of about 60 bytes; beyond the bound both sides are shuffled
+    marked = F.broadcast(marked) if marked.count() <= most_broadcast else marked
     keyed = docs.withColumn(name_key2, text_key(quoted(text_col).cast("string")))
-    joined = keyed.join(materialise(marked, "marked"), (quoted(id_col).cast("long") == F.col(name_id)) & (F.col(name_key2) == F.col(name_key)), "left")
+    joined = keyed.join(marked, (quoted(id_col).cast("long") == F.col(name_id)) & (F.col(name_key2) == F.col(name_key)), "left")
     columns = [quoted(c) for c in docs.columns]
     alone = joined.filter(F.col(name_stays).isNull()).select(*columns)
     return alone.unionByName(joined.filter(F.col(name_stays)).dropDuplicates([name_id, name_key]).select(*columns))
