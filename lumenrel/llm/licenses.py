@@ -26,7 +26,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import blank, join_groups, materialise
+from ._common import blank, join_groups, materialise, quoted, text_key
 
 #: Usual notices of public licences.
 TEMPLATES = [
@@ -125,17 +125,17 @@ def match(spark: SparkSession, texts: DataFrame, threshold: float, templates: li
 def scan(docs: DataFrame, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, file_threshold: float = 0.85) -> DataFrame:
     """A row per document: doc_id, license, score, licenses, license_file, inherited, inherited_from, effective."""
     spark = docs.sparkSession
-    text = blank(F.col(text_col).cast("string"))
+    text = blank(quoted(text_col).cast("string"))
     path = path if path is not None else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), text.alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), path.alias("path"), text.alias("text"))
     rows = rows.select(
         "doc_id", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).alias("dir"), _notices(F.col("text")).alias("notices"),
-        F.when(F.col("text").rlike(TRIGGER), F.col("text")).alias("whole"), F.xxhash64("text").alias("text_hash"),
+        F.when(F.col("text").rlike(TRIGGER), F.col("text")).alias("whole"), text_key("text").alias("text_hash"),
     )
     rows = materialise(rows, "notices")
     # equal sentences and equal texts are compared once
     lines = rows.filter("notices is not null").select("text_hash", F.explode("notices").alias("text")).distinct()
-    lines = materialise(lines.withColumn("key", F.xxhash64("text")), "license-lines")
+    lines = materialise(lines.withColumn("key", text_key("text")), "license-lines")
     distinct = lines.select("key", "text").dropDuplicates(["key"])
     known = match(spark, distinct, threshold).unionByName(match(spark, distinct, threshold, HEADERS))
     # a sentence speaks of one licence, the nearest

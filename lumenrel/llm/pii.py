@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, quoted, text_key, unused
 
 KINDS = ["email", "ip", "card", "phone"]
 _SEP, _DOT = "\ue000", "\ue001"
@@ -132,11 +132,22 @@ def _entities(spans: str) -> Column:
     return F.array_distinct(F.transform(spans, lambda x: F.concat(x["kind"].cast("string"), F.lit(":"), F.lower(x["value"]))))
 
 
+def _text(text_col: str) -> Column:
+    return F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of doc_id and text."""
+    return text_key(F.concat(F.coalesce(quoted(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), _text(text_col)))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("row"), _text(text_col).alias("text"))
+    return rows.withColumn("text_hash", text_key("text")).withColumn("base", base_spans(F.col("text")))
+
+
 def _everywhere(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("text_hash"), "base", _outside(F.col("text"), F.col("base")).alias("words"))
+    return _rows(docs, id_col, text_col).select("doc_id", "row", "text_hash", "base", _outside(F.col("text"), F.col("base")).alias("words"))
 
 
 def disclosing_terms(found: DataFrame, share: float = 0.5, bits: float = 3.0, support: int = 3, most_broadcast: int = 500_000) -> DataFrame | None:
@@ -178,8 +189,7 @@ def _marked(docs: DataFrame, found: DataFrame, told: DataFrame, id_col: str, tex
     told = F.broadcast(told) if told.count() <= most_broadcast else told
     held = found.select("row", F.explode("words").alias("term")).join(told, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("held"))
     held = materialise(held, "held-terms")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text")).join(held, "row")
+    rows = docs.select(_row_key(id_col, text_col).alias("row"), _text(text_col).alias("text")).join(held, "row")
     # of letters, only a dotted capital I has a lower case of two characters, the second one no letter
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.replace(F.array_join("held", "|"), F.lit("i\u0307"), F.lit("\u0130")), F.lit(r")(?!\p{L})"))
     rows = rows.withColumn("pattern", pattern)
@@ -189,11 +199,8 @@ def _marked(docs: DataFrame, found: DataFrame, told: DataFrame, id_col: str, tex
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, reach: int, words: int) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
     beside = F.when(F.size("base") > 0, _context(F.col("text"), F.col("base"), reach, words))
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("text_hash"), "base", beside.alias("beside"))
+    return _rows(docs, id_col, text_col).select("doc_id", "row", "text_hash", "base", beside.alias("beside"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", share: float = 0.5, bits: float = 3.0, support: int = 3) -> DataFrame:
@@ -205,8 +212,9 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", share:
     both = materialise(both.filter(F.col("texts") >= support), "term-pairs")
     values = found.select(F.explode(F.array_distinct(F.transform("base", lambda x: F.concat(x["kind"].cast("string"), F.lit(":"), F.lower(x["value"]))))).alias("entity"))
     of_entity = values.groupBy("entity").agg(F.count("*").alias("rows_e"))
-    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
-    of_term = terms.filter(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("rows_t"))
+    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower(quoted(text_col)), r"[^\p{L}]+"))).alias("term"))
+    terms = terms.filter(F.length("term") >= 4).join(both.select("term").distinct(), "term", "left_semi")
+    of_term = terms.groupBy("term").agg(F.count("*").alias("rows_t"))
     known = both.join(of_entity, "entity").join(of_term, "term")
     given = F.col("both") / F.col("rows_t")
     return known.filter((given >= share) & (F.log2(given * total / F.col("rows_e")) >= bits)).select("entity", "term")
@@ -246,9 +254,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """docs with each span's text replaced by its kind in angle brackets; overlapping spans become one, of the first kind."""
-    found = detect(docs, id_col, text_col, **parameters).filter(F.size("all") > 0).dropDuplicates(["row"]).select(F.col("row").alias("__row"), F.col("all").alias("__all"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), text))
+    name_row, name_all, name_key = unused(docs, "row", "all", "key")
+    found = detect(docs, id_col, text_col, **parameters).filter(F.size("all") > 0).dropDuplicates(["row"]).select(F.col("row").alias(name_row), F.col("all").alias(name_all))
+    text = _text(text_col)
+    keyed = docs.withColumn(name_key, _row_key(id_col, text_col))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in [*KINDS, "term"]))
 
     def step(acc: Column, x: Column) -> Column:
@@ -256,7 +265,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), names[x["kind"]])).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    cut = F.aggregate("__all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = keyed.join(found, keyed["__key"] == found["__row"], "left")
-    new = F.when(F.col("__all").isNull(), F.col(text_col)).otherwise(cut)
-    return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    cut = F.aggregate(name_all, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    joined = keyed.join(found, F.col(name_key) == F.col(name_row), "left")
+    new = F.when(F.col(name_all).isNull(), quoted(text_col)).otherwise(cut)
+    return joined.select(*(new.alias(c) if c == text_col else quoted(c) for c in docs.columns))
