@@ -118,7 +118,8 @@ def match(spark: SparkSession, texts: DataFrame, threshold: float, templates: li
     tf = tf.join(of_word, "word", "left").select("key", "word", (F.col("count") * F.coalesce("idf", F.lit(other))).alias("w"))
     norm = tf.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = tf.join(weights, "word").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dot.join(norm, "key").withColumn("score", F.col("dot") / F.col("norm")).filter(F.col("score") >= threshold)
+    # rounded, so that the order of sums decides no tie
+    scored = dot.join(norm, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= threshold)
     return scored.groupBy("key", "license").agg(F.max("score").alias("score"))
 
 

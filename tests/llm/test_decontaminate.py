@@ -123,3 +123,27 @@ def test_items_without_windows(spark):
         got = {r["doc_id"]: r["items"] for r in dec.report(frame, bench, exact=True, most_broadcast=broadcast).collect()}
         assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [], 7: [4], 8: [], 9: [], 10: [7]}
     assert sorted(r["doc_id"] for r in dec.remove(frame, bench, exact=True).collect()) == [2, 4, 6, 8, 9]
+
+
+def test_remove_keeps_odd_names_and_rows(spark):
+    item = "Alice bought 12 red apples and 5 green pears at the market on Monday"
+    names = ["a.b", "__key", "__row", "row", "item_id"]
+    rows = [(1, "so: " + item + " she said"), (2, "nothing of that kind is said here at all"), (None, None), (2, "nothing of that kind is said here at all"), (1, "another text of number one")]
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], ["doc_id", "text", *names])
+    kept = dec.remove(docs, spark.createDataFrame([(7, item)], "item_id long, text string"), exact=True)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, rows[1:]))
+
+
+def test_windows_of_any_width(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(n, [(n * 31 + i) % 7 for i in range(n)]) for n in range(12)], "n int, g array<long>")
+    for width in (1, 2, 3, 5, 6, 7):
+        found = {}
+        for r in dec._windows(rows.withColumn("k", F.col("g")), ["g"], width).collect():
+            own = [tuple(r["k"][i : i + width]) for i in range(max(0, r["n"] - width + 1))]
+            assert len(own) == len(r["g"])
+            for window, h in zip(own, r["g"]):
+                assert found.setdefault(window, h) == h
+        assert len(set(found.values())) == len(found)

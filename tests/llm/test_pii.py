@@ -125,3 +125,12 @@ def test_terms_everywhere_against_direct_counts(spark):
         got = {r["doc_id"]: sorted((x["start"], x["end"]) for x in r["all"] if x["kind"] == 4) for r in pii.detect(docs, everywhere=True, most_broadcast=most).collect()}
         assert got == want
     assert pii.detect(docs.limit(0), everywhere=True).collect() == []
+
+
+def test_sanitise_keeps_odd_names(spark):
+    names = ["a.b", "__key", "__row", "__all", "base", "row"]
+    docs = spark.createDataFrame([(1, "write a@b.cd", *["x"] * len(names)), (None, None, *["y"] * len(names))], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    for everywhere in (False, True):
+        out = pii.sanitise(docs, everywhere=everywhere)
+        assert out.columns == docs.columns
+        assert sorted((str(r["doc_id"]), r["text"], r["__key"], r["a.b"]) for r in out.collect()) == [("1", "write <EMAIL>", "x", "x"), ("None", None, "y", "y")]

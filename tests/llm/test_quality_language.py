@@ -58,6 +58,23 @@ def test_discriminant_equals_direct_density():
     assert np.allclose(model.score(point), 1 / (1 + np.exp(log[0] - log[1])))
 
 
+def test_quality_query_against_brute_force(spark):
+    """op6_quality's rows, worked out again from each text's statistics and sums over the labelled texts that aren't held out."""
+    from lumenrel.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    out = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    x = [quality.statistics([docs[d] for d, y in labels if y == k and not out(d) and d in docs]) for k in (0, 1)]
+    model = quality.Discriminant.fit(np.array([float(len(a)) for a in x]), np.array([a.sum(0) for a in x]), np.array([a.T @ a for a in x]))
+    got = queries.op6_quality(spark, folder).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        want = model.score(quality.statistics([docs[r["doc_id"]]]))[0]
+        assert abs(r["score"] - want) < 1e-6 and r["held_out"] == out(r["doc_id"]) and r["predicted"] == (r["score"] >= 0.5)
+
+
 def best_path(s, penalty):
     return max(itertools.product(range(s.shape[1]), repeat=len(s)), key=lambda p: sum(s[i, c] for i, c in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:])))
 
