@@ -5,11 +5,11 @@ by one global order (rare shingles before those frequent in a sample, then by ha
 shingle. Documents within the threshold of each other must meet in the cell of one of their first n - ceil(t n) + 1
 shingles; a document is replicated to those boundary cells. Windows: inside a cell the triangle inequality against the empty set
 (sizes) and against parity sketches, whose Hamming distance never exceeds the symmetric difference, rules pairs out without
-losing any. Recursion: a cell's most central member is its pivot; members inside the pivot's ball are linked to it by an exact
-distance, which joins them without looking at the pairs among them. Members left in other components are compared in
-blocks, with the same windows; only pairs that pass go on to exact distances over whole sets.
-(Voronoi cells around sampled documents don't work on text: nearly every distance is 1, so all cells tie and every window
-holds every document; see README.)
+losing any. Pivot: a cell's most central member; members inside the pivot's ball are linked to it by an exact
+distance, which joins them without looking at the pairs among them. Members left in other components are compared pair by pair in
+blocks, with the same windows; only pairs that pass go on to exact distances over whole sets. There is no further recursion.
+(Voronoi cells around documents don't work on text: nearly every distance is 1, so cells tie and windows hold nearly every document; the
+README has figures.)
 
 Documents with equal sets collapse first, so copies never meet as pairs. Nothing about the documents comes to the driver but the
 sample's frequent shingles, which only order cells: at most ``most_frequent`` of them, from about ``sample_docs`` documents.
