@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,10 +122,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
 
 
 class Tables:
-    """Tables of materialise() that belong together, to delete what nothing will read again."""
+    """Tables that belong together, to delete what nothing will read again.
+
+    make() writes one to the shared folder and cuts its lineage. hold() keeps one on the executors' disks for readers that follow soon: it has its
+    lineage still, so what a lost executor held is computed again from the written tables.
+    """
 
     def __init__(self):
         self.made: list[DataFrame] = []
+        self.held: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.held[-1]
 
     def make(self, df: DataFrame, name: str) -> DataFrame:
         self.made.append(materialise(df, name))
@@ -132,11 +142,14 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            discard(t)
-            self.made = [x for x in self.made if x is not t]
+            if any(t is x for x in self.held):
+                t.unpersist()
+            else:
+                discard(t)
+            self.made, self.held = [x for x in self.made if x is not t], [x for x in self.held if x is not t]
 
     def drop_but(self, *tables: DataFrame) -> None:
-        self.drop(*(t for t in self.made if not any(t is x for x in tables)))
+        self.drop(*(t for t in [*self.made, *self.held] if not any(t is x for x in tables)))
 
 
 def quoted(name: str) -> Column:

@@ -337,6 +337,7 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
 def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: int, most_frequent: int, tables: Tables) -> DataFrame:
     """docs: (doc_id, text, key). A row each: doc_id, key, n, component (null for empty sets), component_id. tables: gets the tables it is read from."""
     num, den = similarity
+    # what a held table is made from is dropped after it, never before
     every = tables.make(describe(docs, k, num, den, sample_docs, most_frequent), "shingled")
     rows = tables.make(every.select("doc_id", "key", "n", "sig"), "rows")
     full = every.filter("n > 0").drop("key")
@@ -353,15 +354,17 @@ def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: i
     cells = nodes.select(F.explode("keys").alias("key"), "node", "n", F.least("rare", F.lit((1 << 22) - 1)).alias("rare"))
     code = F.shiftleft(F.col("rare"), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node"), 24))
     cells = cells.select("key", "node", "n", code.alias("code"))
-    shared = tables.make(cells.groupBy("key").agg(F.min("code").alias("first"), F.count("*").alias("members")).filter("members > 1"), "cell-keys")
+    shared = tables.hold(cells.groupBy("key").agg(F.min("code").alias("first"), F.count("*").alias("members")).filter("members > 1"))
     meets = tables.make(join_groups(cells, shared, "key", "members", "inner").select("key", "node", "n", "members", (F.col("code") == F.col("first")).alias("central")), "cells")
     tables.drop(shared)
-    pivots = tables.make(meets.filter("central").groupBy("key").agg(F.first("members").alias("size"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn")), "pivots")
+    pivots = tables.hold(meets.filter("central").groupBy("key").agg(F.first("members").alias("size"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn")))
     fits = den * F.least("n", "pn") >= num * F.greatest("n", "pn")
     star = join_groups(meets, pivots, "key", "size", "inner").filter("node <> pivot").filter(fits)
     star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     reps = tables.make(nodes.select("node", "sig", "rep"), "reps")
-    links = _links(tables.make(_near(star, nodes, num, den), "star"), docs, reps, k, num, den)
+    star = tables.hold(_near(star, nodes, num, den))
+    links = _links(star, docs, reps, k, num, den)
+    tables.drop(star)
     tables.made.append(links)
     comps, stored = components(links)
     tables.made.append(stored)
@@ -370,9 +373,10 @@ def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: i
     left = tables.make(left, "cells-left")
     tables.drop(meets, pivots)
     open_cells = left.groupBy("key").agg(F.first("members").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "size")
-    left = join_groups(left, tables.make(open_cells, "open-cells"), "key", "size", "inner").drop("size").join(nodes.select("node", "small"), "node")
-    rest = tables.make(_near(_cells(left, num, den), nodes, num, den), "cross")
-    tables.drop(nodes)
+    open_cells = tables.hold(open_cells)
+    rest = join_groups(left, open_cells, "key", "size", "inner").drop("size").join(nodes.select("node", "small"), "node")
+    rest = tables.make(_near(_cells(rest, num, den), nodes, num, den), "cross")
+    tables.drop(open_cells, left, nodes)
     if not rest.isEmpty():
         more = _links(rest, docs, reps, k, num, den)
         tables.made.append(more)
@@ -408,9 +412,9 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100
     plain = plain.withColumn("key", text_key("text"))
     tables = Tables()
     found = _linked(plain, k, similarity, sample_docs, most_frequent, tables).filter("n > 0 and doc_id is not null")
-    each = tables.make(found.groupBy("doc_id", "key", "component", "component_id").agg(F.count("*").alias("rows")), "linked-rows")
+    each = tables.hold(found.groupBy("doc_id", "key", "component", "component_id").agg(F.count("*").alias("rows")))
     first = each.groupBy("component").agg(F.count("*").alias("size"), F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("key"))).alias("first"))
-    each = join_groups(each, tables.make(first, "linked-first"), "component", "size", "inner")
+    each = join_groups(each, tables.hold(first), "component", "size", "inner")
     each = each.withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("first")))
     name_id, name_key, name_stays, name_key2 = unused(docs, "id", "key", "stays", "key2")
     marked = each.filter("not stays or rows > 1").select(F.col("doc_id").alias(name_id), F.col("key").alias(name_key), F.col("stays").alias(name_stays))
