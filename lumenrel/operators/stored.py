@@ -207,6 +207,13 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.execute(engine.prepare("SELECT * FROM nation WHERE n_nationkey > $1"), [3])
 
 
+def _sql_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = _seed(spark, sf_dir, "nation", NATION).connect()
+    session.sql("BEGIN; INSERT INTO nation VALUES (400, 'kept', 1); UPDATE nation SET n_name = 'seen' WHERE n_nationkey = 400; COMMIT")
+    session.sql("START TRANSACTION; DELETE FROM nation; ROLLBACK")
+    return session.sql("SELECT * FROM nation")
+
+
 _BY_ENGINE = {
     name: ("customer", "orders") if "orders" in catalogue.SQL[name] else ("customer",)
     for name in ("join_inner", "join_left", "join_where_on_outer", "filter_and_or_not", "filter_bool", "sort_multi", "superset_having", "superset_window", "superset_cte")
@@ -242,6 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grants": _grants,
     "structured_single": _single,
     "prepared_statements": _prepared,
+    "sql_transactions": _sql_transactions,
     **{f"engine_{name}": _through_engine(catalogue.SQL[name], *tables) for name, tables in _BY_ENGINE.items()},
 }
 
@@ -298,6 +306,7 @@ ORACLES: dict[str, str] = {
     "structured_single": """
         SELECT n_nationkey, CASE WHEN n_regionkey > 3 THEN 'it''s' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey NOT IN (1, 2)
         UNION ALL SELECT * FROM (VALUES (70, 'made', NULL), (70, 'found made', NULL)) t""",
+    "sql_transactions": "SELECT * FROM nation UNION ALL SELECT 400, 'seen', 1",
     "prepared_statements": "SELECT n_nationkey, CASE n_regionkey WHEN 2 THEN '$2; it''s' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey > 3 UNION ALL SELECT 90, 'p', NULL",
     **{f"engine_{name}": catalogue.SQL[name].replace("`", '"') for name in _BY_ENGINE},
 }
