@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,33 +107,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     """Join ``groups`` (one row a key, column ``size`` = its rows in ``rows``) to ``rows``, left or inner; hot keys are split off.
 
     A key is hot when it holds over total/hot_share rows (``least`` at least); so there are under
-    hot_share hot keys whatever the input is, which bounds the broadcast. Other keys shuffle, and none of their
+    hot_share hot keys whatever the input is, which bounds what is broadcast and what the driver gets. Other keys shuffle, and none of their
     groups is large. ``groups`` should come from a materialised table since it is read up to four times.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     limit = max(least, total // hot_share)
     extra = [c for c in groups.columns if c != key]
-    hot = F.broadcast(groups.filter(F.col(size) > limit))
-    cold = groups.filter(F.col(size) <= limit)
-    done = rows.join(hot, key).select(*rows.columns, *extra)
-    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, how).select(*rows.columns, *extra)
+    hot = groups.filter(F.col(size) > limit)
+    keys = [r[0] for r in hot.select(key).collect()]  # under hot_share
+    if not keys:
+        return rows.join(groups, key, how).select(*rows.columns, *extra)
+    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    done = rows.filter(is_hot).join(F.broadcast(hot), key).select(*rows.columns, *extra)
+    rest = rows.filter(~is_hot).join(groups.filter(F.col(size) <= limit), key, how).select(*rows.columns, *extra)
     return done.unionByName(rest)
 
 
 class Tables:
-    """Tables that belong together, to delete what nothing will read again.
-
-    make() writes one to the shared folder and cuts its lineage. hold() keeps one on the executors' disks for readers that follow soon: it has its
-    lineage still, so what a lost executor held is computed again from the written tables.
-    """
+    """Tables of materialise() that belong together, to delete what nothing will read again."""
 
     def __init__(self):
         self.made: list[DataFrame] = []
-        self.held: list[DataFrame] = []
-
-    def hold(self, df: DataFrame) -> DataFrame:
-        self.held.append(df.persist(StorageLevel.DISK_ONLY))
-        return self.held[-1]
 
     def make(self, df: DataFrame, name: str) -> DataFrame:
         self.made.append(materialise(df, name))
@@ -142,14 +135,11 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if any(t is x for x in self.held):
-                t.unpersist()
-            else:
-                discard(t)
-            self.made, self.held = [x for x in self.made if x is not t], [x for x in self.held if x is not t]
+            discard(t)
+            self.made = [x for x in self.made if x is not t]
 
     def drop_but(self, *tables: DataFrame) -> None:
-        self.drop(*(t for t in [*self.made, *self.held] if not any(t is x for x in tables)))
+        self.drop(*(t for t in self.made if not any(t is x for x in tables)))
 
 
 def quoted(name: str) -> Column:
