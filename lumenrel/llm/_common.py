@@ -166,37 +166,34 @@ def text_key(text: str | Column) -> Column:
 def components(nodes_edges: DataFrame, name: str = "cc") -> tuple[DataFrame, DataFrame]:
     """(rows, table they are read from): connected components of edges (a long, b long): rows (node, component) for each node with an edge; component = smallest node.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014), each written to the shared folder.
-    Edges never come to the driver; the loop ends when no edge changes.
+    Alternating large-star and small-star steps (Kiveris et al., 2014), a round of both a table in the shared folder. A step reads its edges twice, so
+    a round's plan has few nodes; the driver's memory grows with the plans, not with the edges. Edges never come to the driver; the loop ends when they are stars.
     """
-    spark = nodes_edges.sparkSession
-    edges = materialise(
-        nodes_edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name
-    )
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            moved = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            least = e.groupBy("u").agg(F.min("v").alias("m"))
-            moved = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-            moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-        return moved.filter("u <> v").distinct()
-
-    def mark(e: DataFrame):
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
-
-    seen = mark(edges)
-    while seen[0]:
-        # two rounds a table: fewer files
-        before, edges = edges, materialise(star(star(star(star(edges, True), False), True), False), name)
-        discard(before)
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), edges
+    edges = nodes_edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    stored = None
+
+    def pairs(rows: DataFrame, *of: tuple[str, str]) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in of))).alias("x")
+        return rows.select(each).select("x.u", "x.v").filter("u <> v")
+
+    def large(e: DataFrame) -> DataFrame:
+        both = pairs(e, ("u", "v"), ("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def small(e: DataFrame) -> DataFrame:
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        return pairs(e.join(least, "u"), ("v", "m"), ("u", "m")).distinct()
+
+    def stars(e: DataFrame) -> bool:
+        """Whether each node is the end of one edge, or the least end of some."""
+        ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x")
+        seen = e.select(ends).groupBy("x.node").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("least"))
+        return seen.filter("up > 1 or (up > 0 and least = 0)").isEmpty()
+
+    while stored is None or not stars(stored):
+        before, stored = stored, materialise(small(large(edges if stored is None else stored)), name)
+        if before is not None:
+            discard(before)
+    roots = stored.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return stored.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), stored

@@ -376,7 +376,7 @@ def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: i
     if not rest.isEmpty():
         more = _links(rest, docs, reps, k, num, den)
         tables.made.append(more)
-        comps, stored = components(links.unionByName(more))
+        comps, stored = components(stored.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
         tables.made.append(stored)
 
     # A component's name is its smallest node; its smallest doc_id comes with the texts that the nodes stand for.
