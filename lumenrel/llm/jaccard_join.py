@@ -2,8 +2,9 @@
 
 Metric method. Regions: every shingle is a pivot {s}; a document lies nearest to the pivots it holds, and ties are broken
 by one global order (rare shingles before those frequent in a sample, then by hash), so its cell is that of its first
-shingle. Documents within the threshold of each other must meet in the cell of one of their first n - ceil(t n) + 1
-shingles; a document is replicated to those boundary cells. Windows: inside a cell the triangle inequality against the empty set
+shingle. Documents within the threshold of each other must meet in m of the cells of their first n - ceil(t n) + m
+shingles; a document is replicated to those boundary cells. m grows with the set (``meetings``), so long texts that share a shingle by chance, whose
+number of pairs grows with the square of the input, are no candidates. Windows: inside a cell the triangle inequality against the empty set
 (sizes) and against parity sketches, whose Hamming distance never exceeds the symmetric difference, rules pairs out without
 losing any. Pivot: a cell's most central member; members inside the pivot's ball are linked to it by an exact
 distance, which joins them without looking at the pairs among them. Members left in other components are compared pair by pair in
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Tables, components, discard, join_groups, materialise, quoted, shuffles_end_with_query, text_key, unused
@@ -131,6 +132,16 @@ def sketches(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def meetings(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Cells in which a set must meet each set at least as large that is within the threshold; the order's prefixes are made for it."""
+    return 1 + np.maximum(-(-num * n // den) - 1, 0) // 64
+
+
+def _meetings(n: str, num: int, den: int) -> Column:
+    """meetings() of a column of set sizes, 1 or more."""
+    return F.expr(f"1 + (({num} * {n} + {den - 1}) div {den} - 1) div 64")
+
+
 class Order:
     """The global order: shingles that are frequent in the sample come last, by rank."""
 
@@ -149,9 +160,9 @@ class Order:
         return out
 
     def prefixes(self, s: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shingles, bounds) of each set's first n - ceil(t n) + 1 in the order, and how many of a set aren't frequent."""
+        """(shingles, bounds) of each set's first n - ceil(t n) + meetings in the order, and how many of a set aren't frequent."""
         n = np.diff(bounds)
-        wanted = np.where(n > 0, n - -(-num * n // den) + 1, 0)
+        wanted = np.where(n > 0, n - -(-num * n // den) + meetings(n, num, den), 0)
         place = self.place(s)
         plain = place < 0
         before = np.concatenate([[0], np.cumsum(plain)])
@@ -272,7 +283,7 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int,
 
 
 def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: (key, members, node, n, comp, small). Pairs of different components in a cell that pass the windows.
+    """rows: (key, members, node, n, comp, small). Pairs (a, b, need, shared) of different components that pass the windows, with the number of cells they share.
 
     A cell of over BLOCK members is dealt into blocks, and each pair of blocks is a task's group of its own.
     """
@@ -296,7 +307,8 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
                 apart = np.bitwise_count(small[x] ^ small[y]).sum(axis=1, dtype=np.int64)
                 ok = (num + den) * apart <= (den - num) * (n[x] + n[y])
                 if ok.any():
-                    yield np.stack([node[x[ok]], node[y[ok]]])
+                    x, y = x[ok], y[ok]
+                    yield np.stack([node[x], node[y], meetings(np.minimum(n[x], n[y]), num, den)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -309,7 +321,7 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
             for a, z in zip([0, *cut], [*cut, len(key)]):
                 if z - a > 1:
                     for pairs in one([c[a:z] for c in cols], small[a:z]):
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b", "need"])
 
         def cell(b: pa.RecordBatch, r: int) -> tuple:
             return tuple(b.column(c)[r].as_py() for c in ("key", "i", "j"))
@@ -331,7 +343,7 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(work, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count("*").alias("shared"))
 
 
 def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: int, most_frequent: int, tables: Tables) -> DataFrame:
@@ -359,9 +371,12 @@ def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: i
     pivots = tables.make(meets.filter("central").groupBy("key").agg(F.first("members").alias("size"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn")), "pivots")
     fits = den * F.least("n", "pn") >= num * F.greatest("n", "pn")
     star = join_groups(meets, pivots, "key", "size", "inner").filter("node <> pivot").filter(fits)
-    star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    star = star.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(
+        _meetings("min(least(n, pn))", num, den).alias("need"), F.count("*").alias("shared"), F.count_if(F.col("size") == 2).alias("twos")
+    )
+    star = tables.make(star.filter("shared >= need or twos > 0"), "star-met")
     reps = tables.make(nodes.select("node", "sig", "rep"), "reps")
-    links = _links(tables.make(_near(star, nodes, num, den), "star"), docs, reps, k, num, den)
+    links = _links(tables.make(_near(star.filter("shared >= need").select("a", "b"), nodes, num, den), "star"), docs, reps, k, num, den)
     tables.made.append(links)
     comps, stored = components(links)
     tables.made.append(stored)
@@ -371,8 +386,11 @@ def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: i
     tables.drop(meets, pivots)
     open_cells = left.groupBy("key").agg(F.first("members").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "size")
     left = join_groups(left, tables.make(open_cells, "open-cells"), "key", "size", "inner").drop("size").join(nodes.select("node", "small"), "node")
-    rest = tables.make(_near(_cells(left, num, den), nodes, num, den), "cross")
-    tables.drop(nodes)
+    # Cells of two are not looked at again; what their pairs lack of the meetings may be in larger cells.
+    twos = star.filter("shared < need").select("a", "b", "need", F.col("twos").alias("shared"))
+    met = _cells(left, num, den).unionByName(twos).groupBy("a", "b", "need").agg(F.sum("shared").alias("shared")).filter("shared >= need")
+    rest = tables.make(_near(met.select("a", "b"), nodes, num, den), "cross")
+    tables.drop(nodes, star)
     if not rest.isEmpty():
         more = _links(rest, docs, reps, k, num, den)
         tables.made.append(more)

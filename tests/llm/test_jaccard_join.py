@@ -132,3 +132,46 @@ def test_sketch_never_exceeds_the_difference():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 20).astype(np.uint64)]))
         one, two = jaccard_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
         assert int(np.bitwise_count(one ^ two).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_long_texts_that_share_little_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passages = [[f"p{i}-{j}" for j in range(6)] for i in range(40)]
+    rows = []
+    for i in range(40):
+        words = [rng.choice(vocabulary) for _ in range(9000)]
+        for p in rng.sample(passages, 8):
+            at = rng.randrange(9000)
+            words[at:at] = p
+        rows.append((i, " ".join(words)))
+    changed = rows[3][1].split()
+    for at in rng.sample(range(9000), 200):
+        changed[at] = "new"
+    rows.append((100, " ".join(changed)))
+    compared = []
+    kept = jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, *rest: compared.append(pairs.count()) or kept(pairs, *rest))
+    got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, similarity=(85, 100), sample_docs=1)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 4, 85, 100)
+    assert sum(compared) <= 5  # whole sets are moved for each; pairs met by chance grow with the square of the rows
+
+
+@pytest.mark.parametrize("num,den", [(1, 100), (50, 100), (80, 100), (85, 100), (100, 100)])
+def test_sets_within_the_threshold_meet_often_enough(spark, num, den):
+    import numpy as np
+
+    rng = np.random.default_rng(num)
+    frequent = np.sort(rng.integers(0, 2**64, 500, np.uint64))
+    order = jaccard_join.Order(frequent, rng.permutation(500))
+    for n in [1, 2, 3, 64, 65, 66, 130, 700, 5000]:
+        x = np.unique(np.concatenate([rng.integers(0, 2**64, n, np.uint64), rng.choice(frequent, n // 10)]))
+        y = x[rng.random(len(x)) < (1 + num / den) / 2]
+        y = np.unique(np.concatenate([y, rng.integers(0, 2**64, len(x) // 20, np.uint64)]))
+        same = len(np.intersect1d(x, y))
+        if not same or den * same < num * (len(x) + len(y) - same):
+            y = x[: max(1, -(-num * len(x) // den))]
+        p, bounds, _ = order.prefixes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), num, den)
+        need = jaccard_join.meetings(np.array([min(len(x), len(y))]), num, den)[0]
+        assert len(np.intersect1d(p[: bounds[1]], p[bounds[1] :])) >= need
+        assert spark.range(1).selectExpr(f"{min(len(x), len(y))} as n").select(jaccard_join._meetings("n", num, den)).first()[0] == need
