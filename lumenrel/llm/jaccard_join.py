@@ -9,6 +9,7 @@ number of pairs grows with the square of the input, are no candidates. Windows:
 losing any. Pivot: a cell's most central member; members inside the pivot's ball are linked to it by an exact
 distance, which joins them without looking at the pairs among them. Members left in other components are compared pair by pair in
 blocks, with the same windows; only pairs that pass go on to exact distances over whole sets. There is no further recursion.
+A pair that passes is not told by every cell it shares (hundreds, for near copies of long texts), but at both ends of each run of shared cells.
 (Voronoi cells around documents don't work on text: nearly every distance is 1, so cells tie and windows hold nearly every document; the
 README has figures.)
 
@@ -28,13 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Tables, components, discard, join_groups, materialise, quoted, shuffles_end_with_query, text_key, unused
 from ._hashing import mix, piece_hashes
 
-SKETCH_BITS, SMALL_BITS, BLOCK = 2048, 512, 1024
+SKETCH_BITS, BLOCK = 2048, 1024
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -206,7 +207,7 @@ def _frequent(docs: DataFrame, k: int, sample_docs: int, most: int) -> tuple[np.
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, sample_docs: int, most_frequent: int) -> DataFrame:
-    """docs: (doc_id, text, key). A row per document: doc_id, key, n, sig, rare, sketch, small, keys (its boundary cells)."""
+    """docs: (doc_id, text, key). A row per document: doc_id, key, n, sig, rare, sketch, keys (its boundary cells)."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, sample_docs, most_frequent))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,16 +217,20 @@ def describe(docs: DataFrame, k: int, num: int, den: int, sample_docs: int, most
             for s, bounds in shingle_batches(b.column(1).to_pylist(), k):
                 m = len(bounds) - 1
                 sig, wide = signatures(s, bounds), sketches(s, bounds)
-                small = np.bitwise_xor.reduce(wide.reshape(m, -1, SMALL_BITS // 8), axis=1)
                 keys, key_bounds, rare = order.prefixes(s, bounds, num, den)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, m), b.column(2).slice(at, m), pa.array(np.diff(bounds)), _binary(sig.astype("<u8")), pa.array(rare), _binary(wide), _binary(small),
+                    [b.column(0).slice(at, m), b.column(2).slice(at, m), pa.array(np.diff(bounds)), _binary(sig.astype("<u8")), pa.array(rare), _binary(wide),
                      pa.ListArray.from_arrays(pa.array(key_bounds.astype(np.int32)), pa.array(keys.view(np.int64)))],
-                    names=["doc_id", "key", "n", "sig", "rare", "sketch", "small", "keys"],
+                    names=["doc_id", "key", "n", "sig", "rare", "sketch", "keys"],
                 )
                 at += m
 
-    return docs.select("doc_id", "text", "key").mapInArrow(work, "doc_id long, key binary, n long, sig binary, rare long, sketch binary, small binary, keys array<long>")
+    return docs.select("doc_id", "text", "key").mapInArrow(work, "doc_id long, key binary, n long, sig binary, rare long, sketch binary, keys array<long>")
+
+
+def _allowed(sa: np.ndarray, sb: np.ndarray, total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether pairs of sketches, of sets of so many shingles together, allow the threshold."""
+    return (num + den) * np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64) <= (den - num) * total
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -239,9 +244,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
             if not t.num_rows:
                 continue
             sa, sb = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(t.num_rows, -1) for i in (4, 5))
-            apart = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
-            total = t.column(2).to_numpy() + t.column(3).to_numpy()
-            yield t.select(["a", "b"]).filter(pa.array((num + den) * apart <= (den - num) * total))
+            yield t.select(["a", "b"]).filter(pa.array(_allowed(sa, sb, t.column(2).to_numpy() + t.column(3).to_numpy(), num, den)))
 
     return both.mapInArrow(keep, "a long, b long")
 
@@ -282,19 +285,28 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int,
     return out
 
 
+def _runs(rows: DataFrame) -> DataFrame:
+    """rows: (key, node, ...), each node's cells. With pos, a cell's place among its node's by key, and the keys before and after it (its own where there is none)."""
+    by_key = Window.partitionBy("node").orderBy("key")
+    return rows.withColumns({"pos": F.row_number().over(by_key).cast("long"), "before": F.lag("key", 1).over(by_key), "after": F.lead("key", 1).over(by_key)}).withColumns(
+        {"before": F.coalesce("before", "key"), "after": F.coalesce("after", "key")}
+    )
+
+
 def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: (key, members, node, n, comp, small). Pairs (a, b, need, shared) of different components that pass the windows, with the number of cells they share.
+    """rows: (key, members, node, n, comp, pos, before, after, sketch). Rows (a, b, need, shared) of pairs of different components that pass the windows; a pair's shared sum up to the number of cells it shares.
 
+    Cells that follow each other for both nodes are a run; a run from place p to place q of the first node is told by -p in its first cell and q + 1 in its last.
     A cell of over BLOCK members is dealt into blocks, and each pair of blocks is a task's group of its own.
     """
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "small")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "pos", "before", "after", "sketch")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
-    def one(t: list[np.ndarray], small: np.ndarray) -> Iterator[np.ndarray]:
-        i, j, own, node, n, comp = t
+    def one(t: list[np.ndarray], sketch: np.ndarray) -> Iterator[np.ndarray]:
+        key, i, j, own, node, n, comp, pos, before, after = t
         for a in range(0, len(node), 128):
             z = slice(a, min(a + 128, len(node)))
             na, nb = n[z, None], n[None, :]
@@ -302,26 +314,29 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
             if i[0] != j[0]:
                 fit &= own[z, None] != own[None, :]
             p, q = np.nonzero(fit)
-            for at in range(0, len(p), 65536):
-                x, y = p[at : at + 65536] + a, q[at : at + 65536]
-                apart = np.bitwise_count(small[x] ^ small[y]).sum(axis=1, dtype=np.int64)
-                ok = (num + den) * apart <= (den - num) * (n[x] + n[y])
+            p += a
+            first = (before[p] != before[q]) | (before[p] == key[0])
+            last = (after[p] != after[q]) | (after[p] == key[0])
+            told = np.flatnonzero(first | last)
+            for at in range(0, len(told), 16384):
+                some = told[at : at + 16384]
+                x, y = p[some], q[some]
+                ok = _allowed(sketch[x], sketch[y], n[x] + n[y], num, den)
                 if ok.any():
-                    x, y = x[ok], y[ok]
-                    yield np.stack([node[x], node[y], meetings(np.minimum(n[x], n[y]), num, den)])
+                    x, y, some = x[ok], y[ok], some[ok]
+                    yield np.stack([node[x], node[y], meetings(np.minimum(n[x], n[y]), num, den), last[some] * (pos[x] + 1) - first[some] * pos[x]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = [table.column(c).to_numpy() for c in ("i", "j", "own", "node", "n", "comp")]
-            small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-            key = table.column("key").to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-            for a, z in zip([0, *cut], [*cut, len(key)]):
+            cols = [table.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "n", "comp", "pos", "before", "after")]
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+            for a, z in zip([0, *cut], [*cut, table.num_rows]):
                 if z - a > 1:
-                    for pairs in one([c[a:z] for c in cols], small[a:z]):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b", "need"])
+                    for pairs in one([c[a:z] for c in cols], sketch[a:z]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b", "need", "shared"])
 
         def cell(b: pa.RecordBatch, r: int) -> tuple:
             return tuple(b.column(c)[r].as_py() for c in ("key", "i", "j"))
@@ -343,7 +358,7 @@ def _cells(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(work, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count("*").alias("shared"))
+    return dealt.mapInArrow(work, "a long, b long, need long, shared long")
 
 
 def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: int, most_frequent: int, tables: Tables) -> DataFrame:
@@ -359,7 +374,7 @@ def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: i
     twice = named.filter("copies > 1").dropDuplicates(["sig"])
     nodes = named.filter("copies is null").unionByName(twice)
     # A node's number is made as the table is written, so it is fixed and its own.
-    nodes = tables.make(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "rep", "n", "rare", "sketch", "small", "keys"), "nodes")
+    nodes = tables.make(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "rep", "n", "rare", "sketch", "keys"), "nodes")
     tables.drop(every)
 
     cells = nodes.select(F.explode("keys").alias("key"), "node", "n", F.least("rare", F.lit((1 << 22) - 1)).alias("rare"))
@@ -385,11 +400,12 @@ def _linked(docs: DataFrame, k: int, similarity: tuple[int, int], sample_docs: i
     left = tables.make(left, "cells-left")
     tables.drop(meets, pivots)
     open_cells = left.groupBy("key").agg(F.first("members").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "size")
-    left = join_groups(left, tables.make(open_cells, "open-cells"), "key", "size", "inner").drop("size").join(nodes.select("node", "small"), "node")
+    left = join_groups(left, tables.make(open_cells, "open-cells"), "key", "size", "inner").drop("size")
+    left = _runs(left).join(nodes.select("node", "sketch"), "node")
     # Cells of two are not looked at again; what their pairs lack of the meetings may be in larger cells.
     twos = star.filter("shared < need").select("a", "b", "need", F.col("twos").alias("shared"))
     met = _cells(left, num, den).unionByName(twos).groupBy("a", "b", "need").agg(F.sum("shared").alias("shared")).filter("shared >= need")
-    rest = tables.make(_near(met.select("a", "b"), nodes, num, den), "cross")
+    rest = tables.make(met.select("a", "b"), "cross")
     tables.drop(nodes, star)
     if not rest.isEmpty():
         more = _links(rest, docs, reps, k, num, den)

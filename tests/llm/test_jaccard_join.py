@@ -157,6 +157,50 @@ def test_long_texts_that_share_little_are_no_candidates(spark, monkeypatch):
     assert sum(compared) <= 5  # whole sets are moved for each; pairs met by chance grow with the square of the rows
 
 
+def test_pairs_are_not_told_by_every_cell_they_share(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}-{i}" for i in range(1500)]
+        for i in range(14):
+            words = list(base)
+            for at in rng.sample(range(1500), rng.choice([6, 13, 16, 26, 30])):
+                words[at] = f"x{rng.randrange(10**9)}"
+            rows.append((100 * group + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    kept = type(docs).mapInArrow
+
+    def counted(self, work, schema, *rest):
+        out = kept(self, work, schema, *rest)
+        if schema.startswith("a long, b long, need long"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    got = jaccard_join.link_components(docs, k=4, similarity=(85, 100))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 4, 85, 100)
+    assert len(made) == 1 and 0 < made[0] <= 3000
+
+
+def test_runs_sum_up_to_the_cells_that_pairs_share(spark, monkeypatch):
+    rng = random.Random(22)
+    cells = {rng.randrange(-(2**62), 2**62): rng.sample(range(30), rng.choice([2, 3, 8, 20])) for _ in range(200)}
+    rows = [(key, len(nodes), node, 100, node % 7, bytes(jaccard_join.SKETCH_BITS // 8)) for key, nodes in cells.items() for node in nodes]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    left = spark.createDataFrame(rows, "key long, members long, node long, n long, comp long, sketch binary")
+    got = {}
+    for a, b, need, shared in jaccard_join._cells(jaccard_join._runs(left), 85, 100).collect():
+        got[a, b, need] = got.get((a, b, need), 0) + shared
+    want = {}
+    for nodes in cells.values():
+        for a in nodes:
+            for b in nodes:
+                if a < b and a % 7 != b % 7:
+                    want[a, b, 2] = want.get((a, b, 2), 0) + 1
+    assert got == want
+
+
 @pytest.mark.parametrize("num,den", [(1, 100), (50, 100), (80, 100), (85, 100), (100, 100)])
 def test_sets_within_the_threshold_meet_often_enough(spark, num, den):
     import numpy as np
